@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.bpe import encode_column
+from foliant.llm.neighbours import similar_pairs
 from foliant.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "chunk_embeddings"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
