@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.bpe import encode_column
 from foliant.llm.neighbours import similar_pairs
+from foliant.llm.pieces import cut_chunks, split_chunks
+from foliant.llm.survivors import best_records, surviving_records
 from foliant.session import table
 
 
@@ -15,12 +17,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "chunk_embeddings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_chunks(p4_pieces(spark, d))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_chunks(table(spark, d, "chunks"), table(spark, d, "parsing_settings"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return best_records(table(spark, d, "documents")).select("group_doc_id", "best_doc_id")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_records(table(spark, d, "documents"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
