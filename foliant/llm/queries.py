@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm.bpe import encode_column
 from foliant.llm.labels import fit_profiles, label_segments, undeclared
 from foliant.llm.neighbours import similar_pairs
+from foliant.llm.pairs import broken_pairs
 from foliant.llm.pieces import cut_chunks, split_chunks
 from foliant.llm.survivors import best_records, surviving_records
 from foliant.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(table(spark, d, "chat_messages"), table(spark, d, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return undeclared(table(spark, d, "chunks"), table(spark, d, "parsing_settings"), table(spark, d, "documents"))
 
@@ -48,7 +53,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
