@@ -26,23 +26,27 @@ def fit_profiles(documents: DataFrame) -> Profiles:
     return Profiles(agreeing(sample_documents(documents)))
 
 
-def decided(text: str, model: Profiles) -> list[tuple[int, int, bool, int, float]]:
-    """(start, end, whole, language index or -1, confidence) of each sentence."""
-    parts = sentences(text)
-    words = [clean_sentence(text[a:b]) for a, b, _ in parts]
-    said = model.decide(words)
-    out = []
-    for (a, b, whole), w, (k, sure) in zip(parts, words, said, strict=True):
-        enough = len(w) >= WORDS and sum(map(len, w)) >= LETTERS and sure >= (SURE_SHORT if len(w) < SHORT else SURE)
-        out.append((a, b, whole, k if enough else -1, sure))
-    return out
-
-
-def segments(text: str, model: Profiles) -> list[tuple[int, int, int, str, float]]:
+Sentence = tuple[int, int, bool, int, float]
+
+
+def decided(texts: list[str], model: Profiles) -> list[list[Sentence]]:
+    """(start, end, whole, language index or -1, confidence) of each sentence of each text."""
+    parts = [sentences(t) for t in texts]
+    words = [[clean_sentence(t[a:b]) for a, b, _ in p] for t, p in zip(texts, parts, strict=True)]
+    said = iter(model.decide([w for many in words for w in many]))
+    return [[(a, b, whole, *trusted(w, *next(said))) for (a, b, whole), w in zip(p, many, strict=True)] for p, many in zip(parts, words, strict=True)]
+
+
+def trusted(words: list[str], language: int, sure: float) -> tuple[int, float]:
+    enough = len(words) >= WORDS and sum(map(len, words)) >= LETTERS and sure >= (SURE_SHORT if len(words) < SHORT else SURE)
+    return (language if enough else -1), sure
+
+
+def segments(text: str, parts: list[Sentence]) -> list[tuple[int, int, int, str, float]]:
     """(start, end, whole sentences, language, confidence); a text without a decided sentence is one segment, ``und``."""
     out: list[list] = []
     lead: int | None = None
-    for a, b, whole, k, sure in decided(text, model):
+    for a, b, whole, k, sure in parts:
         if k < 0:
             if out:
                 out[-1][1] = b
@@ -77,8 +81,10 @@ def label_segments(chunks: DataFrame, model: Profiles, types: list[str] | None =
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
         for batch in batches:
             rows = []
-            for chunk, notebook, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(chunk, notebook, i, *s) for i, s in enumerate(segments(text or "", model))]
+            chunks_, notebooks, texts = (c.to_pylist() for c in batch.columns)
+            texts = [t or "" for t in texts]
+            for chunk, notebook, text, parts in zip(chunks_, notebooks, texts, decided(texts, model), strict=True):
+                rows += [(chunk, notebook, i, *s) for i, s in enumerate(segments(text, parts))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 

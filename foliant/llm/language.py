@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -39,7 +38,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|`[^`\n]*`")
 _MARK = re.compile(r"[“„«\"`]")
 _CODE = re.compile(r"\S*[\d=_/\\<>{}]\S*")
-_END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*(?:\s+|$)")
+_END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*(?:\s+(?![a-zß-öø-ÿа-яєіїґ\d])|$)")
 _ITEM = re.compile(r"^\s*(?:[-*•–>]|\d{1,3}[.)])\s+")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 
@@ -129,32 +128,35 @@ class Profiles:
     def __getstate__(self):
         return {"ids": self.ids, "ranks": self.ranks, "grams": {}, "seen": {}}
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> np.ndarray:
         ids = self.grams.get(word)
         if ids is None:
             if len(self.grams) > REMEMBERED:
                 self.grams.clear()
             unknown = len(self.ids)
-            ids = self.grams[word] = [self.ids.get(g, unknown) for g in grams_of(word)]
+            ids = self.grams[word] = np.array([self.ids.get(g, unknown) for g in grams_of(word)], np.int64)
         return ids
 
-    def distances(self, many: list[list[str]]) -> np.ndarray:
-        """Mean out-of-place distance per n-gram of each word list to each language."""
-        flat: list[int] = []
-        ends = [0]
-        for words in many:
-            counts = Counter(chain.from_iterable(map(self._ids, words)))
-            flat.extend(sorted(counts, key=counts.get, reverse=True))
-            ends.append(len(flat))
-        ids, ends_ = np.array(flat, np.int64), np.array(ends)
-        size = np.diff(ends_)
-        place = np.arange(len(ids)) - np.repeat(ends_[:-1], size)
-        far = np.abs(self.ranks[ids] - place[:, None]).astype(np.float64)
-        sums = np.zeros((len(many), len(LANGUAGES)))
-        some = size > 0
-        if some.any():
-            sums[some] = np.add.reduceat(far, ends_[:-1][some], axis=0)
-        return sums / np.maximum(size, 1)[:, None]
+    def distances(self, many: list[list[str]], block: int = 4096) -> np.ndarray:
+        """Mean out-of-place distance per n-gram of each word list to each language; ties of frequency in order of n-gram."""
+        out = np.zeros((len(many), len(LANGUAGES)))
+        wide = len(self.ids) + 1
+        for at in range(0, len(many), block):
+            part = [[self._ids(w) for w in words] for words in many[at : at + block]]
+            size = [sum(map(len, p)) for p in part]
+            if not sum(size):
+                continue
+            flat = np.concatenate([ids for p in part for ids in p])
+            gram, count = np.unique(flat + np.repeat(np.arange(len(part)) * wide, size), return_counts=True)
+            owner, gram = np.divmod(gram, wide)
+            order = np.lexsort((gram, -count, owner))
+            owner, gram = owner[order], gram[order]
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            kinds = np.diff(np.r_[start, len(owner)])
+            place = np.arange(len(owner)) - np.repeat(start, kinds)
+            far = np.abs(self.ranks[gram] - place[:, None].astype(np.int32))
+            out[at + owner[start]] = np.add.reduceat(far, start, axis=0, dtype=np.float64) / kinds[:, None]
+        return out
 
     def decide(self, many: list[list[str]]) -> list[tuple[int, float]]:
         """(language index, confidence 0..1) of each word list; (-1, 0) for none. Confidence: lead over the second, against its distance."""

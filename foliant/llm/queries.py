@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.bpe import encode_column
 from foliant.llm.labels import fit_profiles, label_segments, undeclared
+from foliant.llm.mixture import mixture
 from foliant.llm.neighbours import similar_pairs
 from foliant.llm.pairs import broken_pairs
 from foliant.llm.pieces import cut_chunks, split_chunks
+from foliant.llm.reading import graded, reading_levels
 from foliant.llm.survivors import best_records, surviving_records
 from foliant.session import table
 
@@ -52,8 +54,30 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_raked(spark: SparkSession, d: str) -> DataFrame:
+    """Shares when the languages are raked as well: half of the tokens English, the rest even."""
+    languages = {"en": 0.5, "de": 0.1, "fr": 0.1, "es": 0.1, "pt": 0.1, "ru": 0.1}
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), {"language": languages})[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return graded(p9_levels(spark, d))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_raked": p8_raked, "p9_found": p9_found, "p9_levels": p9_levels}
 
 
 def oracle_sql() -> dict[str, str]:
