@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from foliant.llm.bpe import TOKENIZER_DIR, ByteBpe
 from foliant.llm.language import SPELLINGS
@@ -29,7 +30,7 @@ def token_counts(documents: DataFrame, columns: list[str], path: str | None = No
     """(doc_id, columns, tokens) of every document, each id once; null and empty texts have 0 tokens."""
     vocabulary = path or f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
     rows = documents.select("doc_id", *columns, "text")
-    schema = rows.drop("text").schema.add("tokens", "bigint")
+    schema = rows.drop("text").schema.add("tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(vocabulary)
@@ -118,19 +119,20 @@ def mixture(documents: DataFrame, targets: DataFrame, marginals: dict[str, dict[
         bins = bins.withColumn("upto", F.sum("t").over(sum_to)).filter(F.col("upto") > F.col("missing"))
         first = F.min(F.struct("bin", (F.col("missing") - F.col("upto") + F.col("t")).alias("missing"), "t"))
         crossed = bins.groupBy(*keys, "base", "low").agg(first.alias("x"))
-        # The last histogram's bin is a single document as a rule; it is taken if that comes nearer to the target.
         low = F.col("low") + F.col("x.bin") * width
-        if r == ROUNDS - 1:
-            low = F.when(F.col("x.missing") * 2 >= F.col("x.t"), low + 1).otherwise(low)
-        edge = crossed.select(*keys, "base", F.col("x.missing").alias("missing"), low.alias("low"))
-        if r == ROUNDS - 1:
-            edge = edge.select(*keys, F.col("low").alias("below"))
-        else:
-            edge = cut(edge)
-    copies = (F.col("base") + F.coalesce((F.col("h") < F.col("below")).cast("int"), F.lit(0))).cast("int")
-    selection = (
-        sized.filter("tokens > 0").join(plan, keys).join(edge, keys, "left").select("doc_id", *keys, copies.alias("copies"), "tokens").filter("copies > 0")
+        edge = cut(crossed.select(*keys, "base", F.col("x.missing").alias("missing"), low.alias("low")))
+    edge = edge.select(*keys, F.col("low").alias("below"), F.col("missing").alias("rest"))
+    placed = sized.filter("tokens > 0").join(plan, keys).join(edge, keys, "left")
+    # What is still missing is less than the next document; the one that fits best closes the cell.
+    closing = (
+        placed.filter((F.col("h") >= F.col("below")) & (F.abs(F.col("tokens") - F.col("rest")) < F.col("rest")))
+        .groupBy(*keys)
+        .agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("rest")).alias("off"), "doc_id")).alias("x"))
+        .select(*keys, F.col("x.doc_id").alias("closing"))
     )
+    more = F.coalesce((F.col("h") < F.col("below")) | (F.col("doc_id") == F.col("closing")), F.col("h") < F.col("below"), F.lit(False))
+    copies = (F.col("base") + more.cast("int")).cast("int")
+    selection = placed.join(closing, keys, "left").select("doc_id", *keys, copies.alias("copies"), "tokens").filter("copies > 0")
     selection = cut(selection)
     taken = selection.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("taken_tokens"))
     stock = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available_tokens"))
