@@ -13,6 +13,7 @@ from foliant.llm.neighbours import similar_pairs
 from foliant.llm.pairs import broken_pairs
 from foliant.llm.pieces import cut_chunks, split_chunks
 from foliant.llm.reading import graded, reading_levels
+from foliant.llm.scans import noise_kinds, repaired
 from foliant.llm.survivors import best_records, surviving_records
 from foliant.session import table
 
@@ -42,6 +43,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_chunks(table(spark, d, "chunks"), table(spark, d, "parsing_settings"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return noise_kinds(table(spark, d, "chunks"), table(spark, d, "parsing_settings"), table(spark, d, "documents"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repaired(table(spark, d, "chunks"), table(spark, d, "parsing_settings"), table(spark, d, "documents")).dropDuplicates(["chunk_id"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return best_records(table(spark, d, "documents")).select("group_doc_id", "best_doc_id")
 
@@ -77,7 +86,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_raked": p8_raked, "p9_found": p9_found, "p9_levels": p9_levels}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_raked": p8_raked, "p9_found": p9_found, "p9_levels": p9_levels}
 
 
 def oracle_sql() -> dict[str, str]:
