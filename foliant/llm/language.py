@@ -37,7 +37,7 @@ _SPLIT = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|`[^`\n]*`")
 _MARK = re.compile(r"[“„«\"`]")
-_CODE = re.compile(r"\S*[\d=_/\\<>{}]\S*")
+_CODE = re.compile(r"[\d=_/\\<>{}]")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*(?:\s+(?![a-zß-öø-ÿа-яєіїґ\d])|$)")
 _ITEM = re.compile(r"^\s*(?:[-*•–>]|\d{1,3}[.)])\s+")
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -99,7 +99,9 @@ def clean_sentence(text: str) -> list[str]:
     """Lower-case words that speak for a language: no quotations, no words with digits, no capitalised names inside."""
     if _MARK.search(text):
         text = _QUOTED.sub(" ", text)
-    words = _WORD.findall(_CODE.sub(" ", text))
+    if _CODE.search(text):
+        text = " ".join([t for t in text.split() if not _CODE.search(t)])
+    words = _WORD.findall(text)
     small = [w for w in words if w.islower()]
     # The first word is capitalised anyway; it may be a name, so it counts only where little else does.
     return small if len(small) >= 5 or not words or words[0].islower() else [words[0].lower(), *small]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ SAMPLES = 20_000
 _CODE_LINE = re.compile(
     r"\w\([^()\n]*\)\s*(?:[;#.{]|//|$)|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|(?:^|\s)--?\w[\w-]*(?:[= ]|$)|[{};]\s*$|^\s*(?:for|if|while|def|class|import|from|return|elif|else)\b[^.!?]*[:({]\s*$|^\s*(?://|#!|\$ |>>> |\.\.\. )"
 )
+_CODE_SIGN = re.compile(r"[(=;{}$>:]|--|//")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
@@ -47,7 +49,7 @@ def running_text(text: str) -> str:
         fence = bool(_FENCE.match(line))
         if fence:
             fenced = not fenced
-        if fence or fenced or line.lstrip()[:1] == "|" or line.count("=") > 1 or (_CODE_LINE.search(line) and not line.lstrip()[:2] == "- "):
+        if fence or fenced or line.lstrip()[:1] == "|" or line.count("=") > 1 or (_CODE_SIGN.search(line) and line.lstrip()[:2] != "- " and _CODE_LINE.search(line)):
             line = "\n\n" if len(line) > 1 else "\n"
         out.append(line)
     return "".join(out)
@@ -75,11 +77,10 @@ class LevelModel:
                             self.contexts[level][context[-k:] if k else ""] += 1
         self.total = [max(1, sum(c.values())) for c in self.words]
         self.alone: dict[str, np.ndarray] = {}
-        self.joined: dict[tuple[str, str], np.ndarray] = {}
-        self.scored: dict[str, tuple[float, float]] = {}
+        self.joined: dict[tuple[str, str], tuple[float, ...]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"alone": {}, "joined": {}, "scored": {}}
+        return self.__dict__ | {"alone": {}, "joined": {}}
 
     def _characters(self, word: str) -> Iterator[tuple[str, str]]:
         w = "^" * (self.order - 1) + word + "$"
@@ -108,37 +109,30 @@ class LevelModel:
             self.alone[word] = p
         return p
 
-    def _log(self, previous: str, word: str) -> np.ndarray:
-        key = (previous, word)
+    def _log(self, key: tuple[str, str]) -> tuple[float, ...]:
+        """Surprisal of a word after another, at each level."""
         v = self.joined.get(key)
         if v is None:
+            previous, word = key
             pair = np.array([self.pairs[k][key] / self.firsts[k][previous] if self.firsts[k][previous] else 0.0 for k in range(len(LEVELS))])
             own = self._word(word) + PAIR * pair
-            v = np.log(np.maximum((1 - SHARED) * own + SHARED * own.mean(), 1e-40))
+            v = tuple((-np.log(np.maximum((1 - SHARED) * own + SHARED * own.mean(), 1e-40))).tolist())
             if len(self.joined) > REMEMBERED:
                 self.joined.clear()
             self.joined[key] = v
         return v
 
-    def surprisals(self, words: list[str]) -> np.ndarray:
+    def surprisals(self, words: list[str]) -> list[float]:
         """Nats of a sentence under each level's model."""
-        v = np.zeros(len(LEVELS))
-        for previous, w in zip(["", *words], words):
-            v -= self._log(previous, w)
-        return v
+        log = self._log
+        return [sum(c) for c in zip(*[log(key) for key in zip(["", *words], words)], strict=True)] if words else [0.0] * len(LEVELS)
 
     def place(self, words: list[str]) -> tuple[float, float]:
         """(place on the scale of levels, least surprisal per word) of a sentence."""
-        key = " ".join(words)
-        found = self.scored.get(key)
-        if found is None:
-            v = self.surprisals(words)
-            p = np.exp(v.min() - v)
-            found = (float(p @ np.arange(len(LEVELS)) / p.sum()), float(v.min() / max(len(words), 1)))
-            if len(self.scored) > REMEMBERED:
-                self.scored.clear()
-            self.scored[key] = found
-        return found
+        v = self.surprisals(words)
+        least = min(v)
+        p = [exp(least - x) for x in v]
+        return sum(k * x for k, x in enumerate(p)) / sum(p), least / max(len(words), 1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +154,10 @@ def sentence_words(text: str) -> list[list[str]]:
 
 def score(places: list[tuple[float, float, int]]) -> tuple[float, float, float]:
     """(mean place, mean surprisal, 90 % surprisal) of a document's sentences, each counted by the root of its words."""
-    p, s, n = (np.array(c, float) for c in zip(*places, strict=True))
-    weight = np.sqrt(n)
-    return float(p @ weight / weight.sum()), float(s @ n / n.sum()), float(np.quantile(s, 0.9))
+    weight = [sqrt(n) for _, _, n in places]
+    p = sum(w * x[0] for w, x in zip(weight, places, strict=True)) / sum(weight)
+    mean = sum(s * n for _, s, n in places) / sum(n for _, _, n in places)
+    return p, mean, sorted(s for _, s, _ in places)[(len(places) * 9 - 1) // 10]
 
 
 def sorted_out(samples: list[tuple[list[list[str]], int]], rounds: int = 3, own: float = 0.4) -> LevelModel:
@@ -175,7 +170,7 @@ def sorted_out(samples: list[tuple[list[list[str]], int]], rounds: int = 3, own:
     prior = {k: -np.log(np.where(np.arange(len(LEVELS)) == k, own, (1 - own) / (len(LEVELS) - 1))) for k in range(len(LEVELS))}
     model = LevelModel(samples)
     for _ in range(rounds):
-        model = LevelModel([([s], int((model.surprisals(s) + prior[level]).argmin())) for many, level in samples for s in many])
+        model = LevelModel([([s], int((np.array(model.surprisals(s)) + prior[level]).argmin())) for many, level in samples for s in many])
     return model
 
 
@@ -197,8 +192,8 @@ class Reader:
     def grade(self, x: float) -> float:
         return float(np.interp(x, *self.knots))
 
-    def level(self, x: float) -> str:
-        return LEVELS[int(np.clip(np.floor(self.grade(x) + 0.5), 0, len(LEVELS) - 1))]
+    def level(self, grade: float) -> str:
+        return LEVELS[min(max(int(grade + 0.5), 0), len(LEVELS) - 1)]
 
 
 RESULT = "doc_id bigint, reading_level string, grade double, score double, surprisal double, surprisal_p90 double, words int, other_language boolean"
@@ -213,10 +208,12 @@ def read_documents(texts: list[str], languages: Profiles, reader: Reader) -> lis
     english = LANGUAGES.index("en")
     clear = [running_text(t) for t in texts]
     parts = [sentences(t) for t in clear]
-    words = [[clean_sentence(t[a:b]) for a, b, _ in p] for t, p in zip(clear, parts, strict=True)]
+    words: list[list[list[str]]] = [[] for _ in texts]
     foreign = [False] * len(texts)
     for first, last in ((0, 2), (2, None)):
         open_ = [i for i, f in enumerate(foreign) if not f]
+        for i in open_:
+            words[i] += [clean_sentence(clear[i][a:b]) for a, b, _ in parts[i][first:last]]
         said = iter(languages.decide([w for i in open_ for w in words[i][first:last]]))
         for i in open_:
             for (_, _, whole), w in zip(parts[i][first:last], words[i][first:last], strict=True):
@@ -225,13 +222,14 @@ def read_documents(texts: list[str], languages: Profiles, reader: Reader) -> lis
     out = []
     for t, p, many, other in zip(clear, parts, words, foreign, strict=True):
         running, places = 0, []
-        for (a, b, whole), w in zip(p, many, strict=True):
+        for (a, b, whole), w in zip(p, many, strict=False):
             if whole and len(w) >= 2 and not other:
                 running += len(t[a:b].split())
                 places.append((*reader.model.place(w), len(w)))
         if places:
             x, mean, high = score(places)
-            out.append((reader.level(x), reader.grade(x), x, mean, high, running, other))
+            g = reader.grade(x)
+            out.append((reader.level(g), g, x, mean, high, running, other))
         else:
             out.append((*_NONE, running, other))
     return out
