@@ -36,3 +36,38 @@ def squeezed(c: Column | str) -> Column:
 def is_blank(c: Column | str) -> Column:
     """Null or nothing but white space."""
     return F.coalesce(~col(c).rlike(f"[^{SPACE}]"), F.lit(True))
+
+
+#: What Python's ``str.splitlines`` splits at.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+
+
+def lines(c: Column | str) -> Column:
+    """Stripped non-blank lines of a text; null gives none."""
+    split = F.split(F.coalesce(col(c), F.lit("")), LINE_END)
+    return F.filter(F.transform(split, strip), lambda x: x != "")
+
+
+def token_count(c: Column | str) -> Column:
+    """Tokens by the word rule: 0 for blank text, else 1.3 per word rounded down, at least 1."""
+    n = word_count(c)
+    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n * F.lit(1.3)))).cast("bigint")
+
+
+def basename(c: Column | str) -> Column:
+    return F.element_at(F.split(F.coalesce(col(c), F.lit("")), "/"), -1)
+
+
+def suffix(c: Column | str) -> Column:
+    """Lower-case extension with its dot, empty if there is none."""
+    return F.lower(F.regexp_extract(basename(c), r".(\.[^.]+)$", 1))
+
+
+def filled(c: Column | str) -> Column:
+    """The value, or null where it is empty (truthiness of strings)."""
+    return F.nullif(col(c), F.lit(""))
+
+
+def citation_refs(c: Column | str) -> Column:
+    """Numbers of the ``[N]`` references of an answer, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("bigint"))
