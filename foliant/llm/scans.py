@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip
+from foliant.session import cut
 
 #: Buckets of each of the two rows of the word-count sketch (4 bytes each), whatever the corpus.
 BUCKETS = 1 << 21
@@ -481,10 +482,11 @@ def repaired(chunks: DataFrame, settings: DataFrame, documents: DataFrame) -> Da
     pages = scanned(chunks, settings)
     glyphs = Glyphs(fit_lexicon(chunks))
     titles = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("title").alias("title"))
-    about = recurring_lines(pages).join(titles, "doc_id", "full")
-    rows = pages.select("chunk_id", "doc_id", F.col("page_number").cast("int").alias("page_number"), "chunk_text").join(about, "doc_id", "left")
-    rows = rows.select("chunk_id", "page_number", "chunk_text", "lines", "title")
-    sample = rows.filter(F.length("chunk_text") > 0).limit(SAMPLE).toArrow().to_pylist()
+    about = cut(recurring_lines(pages).join(titles, "doc_id", "full"))
+    texts = pages.select("chunk_id", "doc_id", F.col("page_number").cast("int").alias("page_number"), "chunk_text")
+    rows = texts.join(about, "doc_id", "left").select("chunk_id", "page_number", "chunk_text", "lines", "title")
+    picked = texts.filter(F.length("chunk_text") > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)
+    sample = picked.join(about, "doc_id", "left").orderBy(F.xxhash64("chunk_id"), "chunk_id").toArrow().to_pylist()
     model = LineModel([lines_of(r["chunk_text"], r["page_number"], set(r["lines"] or ()), folded(r["title"] or "")) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
