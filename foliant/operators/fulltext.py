@@ -14,7 +14,7 @@ from foliant.functions.text import col
 K1, B = 1.2, 0.75
 #: Inverse document frequency of a term that more than half of the chunks have.
 LEAST_IDF = 1e-6
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+NO_TOKEN = r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def fold_map() -> tuple[str, str]:
@@ -29,7 +29,13 @@ def fold_map() -> tuple[str, str]:
 
 def tokens(c: Column | str) -> Column:
     """Terms of a text: lower case, without diacritics, letters and digits only."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(col(c), F.lit(""))), *fold_map()), F.lit(TOKEN), F.lit(0))
+    plain = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), *fold_map())
+    return F.filter(F.split(plain, NO_TOKEN), lambda x: x != "")
+
+
+def token_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, _t): the terms of each row; behind a generator, so that later steps use them without computing them again."""
+    return df.select(*keys, F.explode(F.array(tokens(text))).alias("_t"))
 
 
 def index(chunks: DataFrame, group: str = "notebook_id", key: str = "chunk_seq", text: str = "chunk_text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,7 +44,7 @@ def index(chunks: DataFrame, group: str = "notebook_id", key: str = "chunk_seq",
     postings: group, key, term, tf; lengths: group, key, len; stats: group, n,
     avgdl. Built by aggregation with map-side combining; no row is cut.
     """
-    rows = chunks.select(group, key, tokens(text).alias("_t"))
+    rows = token_rows(chunks, [group, key], text)
     postings = rows.select(group, key, F.explode("_t").alias("term")).groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"))
     lengths = rows.select(group, key, F.size("_t").cast("bigint").alias("len"))
     stats = lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
@@ -58,12 +64,15 @@ def search(queries: DataFrame, chunks: DataFrame, match: str = "all", group: str
     postings in one equi-join on (group, term); scores are rounded to 9 digits.
     A query without terms finds nothing.
     """
-    postings, lengths, stats = index(chunks, group, key, text)
     terms = queries.select("qid", group, F.array_distinct(tokens("query")).alias("_ts")).filter(F.size("_ts") > 0)
     wanted = terms.select("qid", group, F.size("_ts").alias("_need"), F.explode("_ts").alias("term"))
-    used = postings.join(wanted.select(group, "term").distinct(), [group, "term"], "left_semi")
+    rows = token_rows(chunks, [group, key], text).withColumn("len", F.size("_t").cast("bigint"))
+    stats = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    # Only terms that some query asks for are counted and shuffled.
+    used = rows.select(group, key, "len", F.explode("_t").alias("term")).join(wanted.select(group, "term").distinct(), [group, "term"], "left_semi")
+    used = used.groupBy(group, "term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
     df = used.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = used.join(df, [group, "term"]).join(lengths, [group, key]).join(stats, group)
+    weighed = used.join(df, [group, "term"]).join(stats, group)
     weighed = weighed.select(group, "term", key, bm25(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("n"), F.col("df")).alias("part"))
     hits = wanted.join(weighed, [group, "term"]).groupBy("qid", group, key).agg(F.sum("part").alias("_s"), F.count(F.lit(1)).alias("_got"), F.first("_need").alias("_need"))
     if match == "all":

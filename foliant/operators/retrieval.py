@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +43,73 @@ def best(hits: DataFrame, k: int, by: list[str], order: list[Column], rank: str
     return hits.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 
 
+#: Rows of vectors, and of queries, that meet in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 32_768, 2_048
+
+
+def _padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows of a matrix, short ones padded with zeros, which changes neither products nor lengths."""
+    lists = column.combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().fill_null(0).to_numpy().astype(np.float64)
+    out = np.zeros((len(size), width))
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)] = flat
+    return out
+
+
+def _block_top(k: int, key: str, names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        asked = t.filter(t["_asks"])
+        there = t.filter(pc.invert(t["_asks"]))
+        if not len(asked) or not len(there):
+            return pa.Table.from_batches([], schema=t.select(names).schema.append(pa.field("score", pa.float64())))
+        width = max(1, pc.max(pc.list_value_length(t["_v"])).as_py() or 1)
+        q, v = _padded(asked["_v"], width), _padded(there["_v"], width)
+        norms = [np.linalg.norm(m, axis=1) for m in (q, v)]
+        q, v = (m / np.where(n == 0, 1.0, n)[:, None] for m, n in zip((q, v), norms, strict=True))
+        keys = there[key].to_numpy()
+        rows, cols, scores = [], [], []
+        for at in range(0, len(q), 256):
+            score = np.round(q[at : at + 256] @ v.T, 9)
+            for i, line in enumerate(score, at):
+                few = np.arange(len(line)) if len(line) <= k else np.flatnonzero(line >= np.partition(line, -k)[-k])
+                top = few[np.lexsort((keys[few], -line[few]))][:k]
+                rows.append(np.full(len(top), i))
+                cols.append(top)
+                scores.append(line[top])
+        rows, cols = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        out = {n: there[key].take(cols) if n == key else asked[n].take(rows) for n in names}
+        return pa.table({**out, "score": pa.array(np.concatenate(scores))})
+
+    return run
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = "notebook_id", key: str = "chunk_seq") -> DataFrame:
-    """(qid, key, score, rank): the k most similar vectors of each query's group; ties go to the smaller key.
+    """(qid, group, key, score, rank): the k most similar vectors of each query's group by cosine; ties go to the smaller key.
 
-    queries: qid, group, qvec; vectors: group, key, embedding. One equi-join on
-    the group; without a group every query meets every vector, which is for a
-    handful of queries only.
+    queries: qid, group, qvec; vectors: group, key, embedding. A group's vectors
+    and queries are cut into blocks by their number; each pair of blocks is one
+    matrix product that keeps k rows per query, so no task holds a whole group.
+    Without a group every query meets every vector, for a handful of queries.
+    Zero vectors score 0; shorter ones count as padded with zeros; null vectors take no part.
     """
-    q = queries.select("qid", *([group] if group else []), "qvec")
-    pairs = q.join(vectors, group) if group else vectors.crossJoin(F.broadcast(q.limit(1024)))
-    scored = pairs.select("qid", *([group] if group else []), key, F.round(cosine("embedding", "qvec"), 9).alias("score"))
+    if group is None:
+        few = queries.limit(QUERY_BLOCK).select("qid", "qvec")
+        scored = vectors.crossJoin(F.broadcast(few)).select("qid", key, F.round(cosine("embedding", "qvec"), 9).alias("score"))
+        return best(scored, k, ["qid"], [F.desc("score"), F.asc(key)])
+    q = queries.filter(F.col("qvec").isNotNull()).select("qid", group, F.col("qvec").cast("array<float>").alias("_v"))
+    v = vectors.filter(F.col("embedding").isNotNull()).select(group, key, F.col("embedding").cast("array<float>").alias("_v"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = v.groupBy(group).agg(F.count(F.lit(1)).alias("_nv")).join(q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq")), group)
+    sizes = sizes.select(group, blocks("_nv", VECTOR_BLOCK).alias("_vb"), blocks("_nq", QUERY_BLOCK).alias("_qb"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    qs = q.join(sizes, group).select("qid", group, F.lit(None).cast(dict(v.dtypes)[key]).alias(key), "_v", F.lit(True).alias("_asks"), part("qid", "_qb").alias("_qi"), every("_vb").alias("_vi"))
+    vs = v.join(sizes, group).select(F.lit(None).cast(dict(q.dtypes)["qid"]).alias("qid"), group, key, "_v", F.lit(False).alias("_asks"), part(key, "_vb").alias("_vi"), every("_qb").alias("_qi"))
+    names = ["qid", group, key]
+    schema = ", ".join(f"{n} {dict(qs.dtypes)[n]}" for n in names) + ", score double"
+    scored = qs.unionByName(vs).groupBy(group, "_qi", "_vi").applyInArrow(_block_top(k, key, names), schema)
     return best(scored, k, ["qid"], [F.desc("score"), F.asc(key)])
 
 

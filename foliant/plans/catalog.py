@@ -256,7 +256,7 @@ GRAMMAR = {
     + "\nUNION ALL ".join(f"SELECT '{name}' AS qid, chunk_seq FROM t WHERE {where}" for name, (_, where) in GRAMMAR.items())
 )
 def fts_or_not_phrase_prefix(spark, d):
-    rows = table(spark, d, "chunks").select("chunk_seq", fulltext.tokens("chunk_text").alias("ts"))
+    rows = fulltext.token_rows(table(spark, d, "chunks"), ["chunk_seq"], "chunk_text").withColumnRenamed("_t", "ts")
     hits = F.filter(F.array(*[F.when(fulltext.matching(q, "ts"), F.lit(name)) for name, (q, _) in GRAMMAR.items()]), lambda x: x.isNotNull())
     return rows.select(F.explode(hits).alias("qid"), "chunk_seq")
 
