@@ -112,3 +112,73 @@ def chunk_links(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_inde
 
 def chunk_estimate(counts: DataFrame, tokens: str = "tokens", size: str = "chunk_size") -> Column:
     return F.greatest(F.lit(1), F.floor(F.col(tokens) / F.greatest(F.lit(1), F.col(size))) + 1).cast("bigint")
+
+
+def moved(order: Column, item: Column, to: Column) -> Column:
+    """An id array with one item taken out and put in at position ``to`` (from 1)."""
+    rest = F.array_remove(order, item)
+    at = F.least(F.greatest(to, F.lit(1)), F.size(rest) + 1)
+    return F.when(F.array_contains(order, item), F.array_insert(rest, at, item)).otherwise(order)
+
+
+def toggled(selection: Column, item: Column) -> Column:
+    """A selection with one id switched in or out."""
+    return F.when(F.array_contains(selection, item), F.array_remove(selection, item)).otherwise(F.array_append(selection, item))
+
+
+def unselected(rows: DataFrame, selection: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(selection.select(key), key, "left_anti")
+
+
+def default_selection(rows: DataFrame, selection: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Enabled sources; an explicit selection is cut to them."""
+    enabled = rows.filter(F.coalesce("is_enabled", F.lit(True)))
+    return enabled if selection is None else enabled.join(selection.select(key), key, "left_semi")
+
+
+def patched_config(rows: DataFrame, patches: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """Individual settings replaced as a whole where there is a patch: fields that it leaves out become null."""
+    given = patches.select(key, F.lit(True).alias("_given"), *[(F.col(f) if f in patches.columns else F.lit(None)).alias(f"_{f}") for f in fields])
+    joined = rows.join(given, key, "left")
+    return joined.withColumns({f: F.when(F.col("_given"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).select(*rows.columns)
+
+
+def erased(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """Sources whose data was erased: the file stays, the status is new, no base and no parsing."""
+    hit = gone.select(key, F.lit(True).alias("_hit"))
+    new = {"status": F.lit("new"), "has_parsing": F.lit(False), "has_base": F.lit(False)}
+    joined = rows.join(hit, key, "left")
+    return joined.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new.items() if c in rows.columns}).drop("_hit")
+
+
+def recovered(rows: DataFrame, present: DataFrame, key: str = "id") -> DataFrame:
+    """After a restart: what was indexing has failed; ``has_docs`` says whether the file is there."""
+    there = present.select(key, F.lit(True).alias("_there")).distinct()
+    status = F.when(F.col("status") == "indexing", "failed").otherwise(F.col("status"))
+    return rows.join(there, key, "left").withColumns({"status": status, "has_docs": F.coalesce("_there", F.lit(False))}).drop("_there")
+
+
+def embedding_status(chunks: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """(by, embeddings_status): ok if any vector of a source has a value, else failed."""
+    good = F.exists(vector, lambda x: F.abs(x) > 0)
+    return chunks.groupBy(by).agg(F.when(F.coalesce(F.bool_or(good), F.lit(False)), "ok").otherwise("failed").alias("embeddings_status"))
+
+
+def appended_messages(messages: DataFrame, new: DataFrame, group: str = "notebook_id", order: str = "seq") -> DataFrame:
+    """New messages after the last of their conversation, in their given order."""
+    last = messages.groupBy(group).agg(F.max(order).alias("_last"))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return messages.unionByName(new.join(last, group, "left").withColumn(order, F.coalesce("_last", F.lit(0)) + at).select(*messages.columns))
+
+
+def cleared(messages: DataFrame, versions: DataFrame, gone: DataFrame, group: str = "notebook_id") -> tuple[DataFrame, DataFrame]:
+    """Messages without those of cleared conversations, and the versions, one higher for each."""
+    hit = gone.select(group).distinct().withColumn("_hit", F.lit(1))
+    new = versions.join(hit, group, "full").select(group, (F.coalesce("version", F.lit(0)) + F.coalesce("_hit", F.lit(0))).alias("version"))
+    return without(messages, gone, group), new
+
+
+def late_dropped(streams: DataFrame, clears: DataFrame, group: str = "notebook_id", started: str = "started_at") -> DataFrame:
+    """Streams that began after their conversation's last clear."""
+    last = clears.groupBy(group).agg(F.max("cleared_at").alias("_last"))
+    return streams.join(last, group, "left").filter(F.col("_last").isNull() | (F.col(started) > F.col("_last"))).drop("_last")

@@ -39,7 +39,8 @@ def fenced(results: DataFrame, versions: DataFrame, key: str = "notebook_id") ->
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*", max_files: int = 1000) -> DataFrame:
     """New files of a landing folder as (path, modificationTime, length, content)."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder)
 
 
 def index_stream(files: DataFrame, index_batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
