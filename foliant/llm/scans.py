@@ -69,6 +69,11 @@ def folded(line: str) -> str:
     return "".join(c for c in line.casefold().translate(_TO_LATIN) if c.isalpha())
 
 
+def two_scripts(word: str) -> bool:
+    """Whether a lower-case word mixes Latin and Cyrillic letters."""
+    return any("a" <= c <= "z" for c in word) and any("а" <= c <= "ї" for c in word)
+
+
 def digest(text: str) -> int:
     """A signed 64-bit hash."""
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -173,7 +178,7 @@ class Glyphs:
         best, most = None, 0
         plain = word.isalpha()
         own = self.lexicon.count(word) if plain else 0
-        if not (plain and own >= 60) and len(word) >= 3:
+        if not (plain and own >= 60) and (len(word) >= 3 or two_scripts(word)):
             first = {unicodedata.normalize("NFC", v) for v in (word.translate(_TO_LATIN), word.translate(_TO_CYRILLIC)) if v != word}
             first.update(self._variants(word))
             pool = set(first)
@@ -204,7 +209,7 @@ def misread(token: str, glyphs: Glyphs) -> tuple[str, str] | None:
     """(read, meant) of a token that is a misread word; codes, numbers, names and addresses are none."""
     word = _SHELL.match(token).group(1)
     low = word.lower()
-    if len(word) < 3 or sum(c.isalpha() for c in word) < 2 or sum(c.isdigit() for c in word) * 2 >= len(word):
+    if len(word) < (2 if two_scripts(low) else 3) or sum(c.isalpha() for c in word) < 2 or sum(c.isdigit() for c in word) * 2 >= len(word):
         return None
     if word.isalpha():
         if glyphs.lexicon.count(low) >= 60:
@@ -269,7 +274,7 @@ def lines_of(text: str, page: int | None, recurring: set[int], title: str) -> li
         letters = folded(bare) if bare and len(bare) <= 90 else ""
         known = bool(letters) and len(letters) >= 4
         titled = known and len(title) >= 6 and title in letters and len(letters) <= 3 * len(title) and "(" not in bare
-        recurs = known and digest(letters) in recurring
+        recurs = known and not bare[0].islower() and digest(letters) in recurring
         out.append(Line(bare, mark, recurs, titled, bool(_STOP.search(bare)), bare[:1].islower(), len(bare) < 0.75 * width, bool(re.fullmatch(_N, bare)) and any(c.isdigit() for c in bare)))
     return out
 
@@ -446,7 +451,7 @@ def recurring_lines(chunks: DataFrame) -> DataFrame:
             for doc, chunk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = digest(chunk)
                 for line in {t.strip() for t in text.splitlines()}:
-                    if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•":
+                    if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS:
                         letters = folded(line)
                         if len(letters) >= 4:
                             docs.append(doc)
