@@ -133,13 +133,15 @@ def context_enrichment(rows: DataFrame, size: int | str = 200, overlap: int | st
     return chunks.withColumn("embedding_text", F.when(F.size(parts) > 1, F.array_join(parts, " ")))
 
 
-def header_level(text: Column, doc_type: str = "technical_manual") -> Column:
+def header_level(text: Column, doc_type: str | Column = "technical_manual") -> Column:
     """Level of a header by the patterns of its document type (unknown types count as technical manuals), null if none fits."""
+    if isinstance(doc_type, Column):
+        return reduce(lambda rest, kind: F.when(doc_type == kind, header_level(text, kind)).otherwise(rest), LEVELS, header_level(text))
     rules = LEVELS.get(doc_type, LEVELS["technical_manual"])
     return reduce(lambda rest, rule: F.when(text.rlike(rule[1]), F.lit(rule[0])).otherwise(rest), reversed(rules), F.lit(None).cast("int"))
 
 
-def hierarchy(rows: DataFrame, doc_type: str = "technical_manual", size: int | str = 200, least: int | str = 50, doc: str = "doc_id") -> DataFrame:
+def hierarchy(rows: DataFrame, doc_type: str | Column = "technical_manual", size: int | str = 200, least: int | str = 50, doc: str = "doc_id") -> DataFrame:
     """Sections between recognised headers, prefixed with their breadcrumb; sections over ``size`` tokens in windows."""
     order = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.when(F.col("chunk_type") == "header", header_level(F.col("text"), doc_type))
@@ -219,26 +221,26 @@ DEFAULTS = {
 def chunk_by_settings(documents: DataFrame, settings: DataFrame, doc: str = "doc_id", notebook: str = "source") -> DataFrame:
     """(doc, chunk_index, chunk_text, section_header, embedding_text, method): every document by its notebook's settings.
 
-    One branch per method (and per document type of hierarchy); unknown methods
-    and notebooks without settings are general. Of repeated settings the smallest values hold.
+    One branch per kind of method; unknown methods and notebooks without
+    settings are general. Of repeated settings the smallest values hold.
     """
     per = settings.groupBy("notebook_id").agg(*[F.min(c).alias(c) for c in DEFAULTS])
     joined = documents.select(doc, "text", F.col(notebook).alias("notebook_id")).join(per, "notebook_id", "left").fillna(DEFAULTS)
     rows = blocks(joined.drop("notebook_id"), doc)
-    method, kind = F.lower(strip("chunking_method")), F.col("doc_type")
-    known = [m for m in STRATEGIES if m != "general"]
+    method = F.lower(strip("chunking_method"))
+    known = [m for m in STRATEGIES if m not in ("general", "context_enrichment")]
+    windows = context_enrichment(rows.filter(~method.isin(known)), "chunk_size", "chunk_overlap", "min_chunk_size", "context_window", doc)
+    enriched = method == "context_enrichment"
+    windows = windows.withColumns({"embedding_text": F.when(enriched, F.col("embedding_text")), "method": F.when(enriched, "context_enrichment").otherwise("general")})
     parts = [
-        ("general", general(rows.filter(~method.isin(known)), "chunk_size", "chunk_overlap", "min_chunk_size", doc)),
-        ("context_enrichment", context_enrichment(rows.filter(method == "context_enrichment"), "chunk_size", "chunk_overlap", "min_chunk_size", "context_window", doc)),
+        (None, windows),
         ("pcr", parent_child(rows.filter(method == "pcr"), "parent_chunk_size", "child_chunk_size", doc)),
         ("symbol", by_symbol(rows.filter(method == "symbol"), F.col("symbol_separator"), doc)),
+        ("hierarchy", hierarchy(rows.filter(method == "hierarchy"), F.col("doc_type"), "chunk_size", "min_chunk_size", doc)),
     ]
-    for name in LEVELS:
-        its = kind == name if name != "technical_manual" else ~kind.isin([k for k in LEVELS if k != name])
-        parts.append(("hierarchy", hierarchy(rows.filter((method == "hierarchy") & its), name, "chunk_size", "min_chunk_size", doc)))
     keep = [doc, "chunk_index", "chunk_text", "section_header", "embedding_text", "method"]
     shaped = []
     for name, df in parts:
         absent = {c: F.lit(None).cast("string") for c in ("section_header", "embedding_text") if c not in df.columns}
-        shaped.append(df.withColumns({**absent, "method": F.lit(name)}).select(*keep))
+        shaped.append(df.withColumns(absent | ({"method": F.lit(name)} if name else {})).select(*keep))
     return reduce(DataFrame.unionByName, shaped)
