@@ -72,7 +72,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit_centres(vectors: DataFrame, p: Index) -> np.ndarray:
     """Spherical k-means on a bounded sample by id hash; centres start at sampled points, so dense regions get more."""
     rows = vectors.count()
-    share = min(1.0, 1.2 * p.sample_rows / max(rows, 1))
+    share = 1.0 if rows <= p.sample_rows else 0.95 * p.sample_rows / rows  # below the limit, so that it cuts nothing
     picked = vectors.filter(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     taken = picked.select("v").limit(p.sample_rows).toArrow().column(0).combine_chunks()
     sample = np.asarray(taken.flatten(), np.float32).reshape(-1, p.dim)

@@ -443,37 +443,35 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring_lines(chunks: DataFrame) -> DataFrame:
-    """(doc_id, lines): hashes of the lines that recur in chunks of one document and are no common headings."""
+    """(chunk_id, lines): hashes of a chunk's lines that recur in other chunks of its document and are no common headings.
+
+    Lines are compared by hash, at most once per chunk; what a chunk gets is
+    bounded by its own lines, however many chunks its document has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, hashes, owners = [], [], []
             for doc, chunk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = digest(chunk)
                 for line in {t.strip() for t in text.splitlines()}:
                     if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS:
                         letters = folded(line)
                         if len(letters) >= 4:
                             docs.append(doc)
                             hashes.append(digest(letters))
-                            owners.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(owners, pa.int64())], ["doc_id", "h", "own"])
-
-    lines = (
-        chunks.filter(F.col("doc_id").isNotNull() & F.col("chunk_id").isNotNull())
-        .select("doc_id", "chunk_id", "chunk_text")
-        .mapInArrow(run, "doc_id bigint, h bigint, own bigint")
-        .groupBy("doc_id", "h")
-        .agg(F.min("own").alias("a"), F.max("own").alias("b"))
-        .filter("a <> b")
-    )
-    docs = chunks.select("doc_id").distinct().count()
+                            owners.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(owners, pa.string())], ["doc_id", "h", "chunk_id"])
+
+    known = chunks.filter(F.col("doc_id").isNotNull() & F.col("chunk_id").isNotNull())
+    lines = cut(known.select("doc_id", "chunk_id", "chunk_text").mapInArrow(run, "doc_id bigint, h bigint, chunk_id string"))
+    recurring = lines.groupBy("doc_id", "h").agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b")).filter("a <> b").select("doc_id", "h")
     # Headings, whatever their number, are no running headers.
     heads = chunks.select(F.explode(F.array("section_header", "parent_header")).alias("t")).filter(F.col("t").isNotNull()).distinct()
-    headings = heads.mapInArrow(_hashed, "h bigint").distinct()
-    lines = lines.join(headings, "h", "left_anti")
-    common = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(DOCUMENTS, docs // SHARED)).select("h")
-    return lines.join(common, "h", "left_anti").groupBy("doc_id").agg(F.collect_set("h").alias("lines"))
+    recurring = recurring.join(heads.mapInArrow(_hashed, "h bigint").distinct(), "h", "left_anti")
+    docs = chunks.select("doc_id").distinct().count()
+    common = recurring.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(DOCUMENTS, docs // SHARED)).select("h")
+    recurring = recurring.join(common, "h", "left_anti")
+    return lines.join(recurring, ["doc_id", "h"], "left_semi").groupBy("chunk_id").agg(F.collect_set("h").alias("lines"))
 
 
 def repaired(chunks: DataFrame, settings: DataFrame, documents: DataFrame) -> DataFrame:
@@ -487,11 +485,13 @@ def repaired(chunks: DataFrame, settings: DataFrame, documents: DataFrame) -> Da
     pages = scanned(chunks, settings)
     glyphs = Glyphs(fit_lexicon(chunks))
     titles = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("title").alias("title"))
-    about = cut(recurring_lines(pages).join(titles, "doc_id", "full"))
-    texts = pages.select("chunk_id", "doc_id", F.col("page_number").cast("int").alias("page_number"), "chunk_text")
-    rows = texts.join(about, "doc_id", "left").select("chunk_id", "page_number", "chunk_text", "lines", "title")
+    # What is known of a chunk is gathered beside its text, so that texts are shuffled once and by a key that is never hot.
+    named = pages.filter(F.col("chunk_id").isNotNull()).select("chunk_id", "doc_id").join(titles, "doc_id").groupBy("chunk_id").agg(F.max("title").alias("title"))
+    about = cut(recurring_lines(pages).join(named, "chunk_id", "full"))
+    texts = pages.select("chunk_id", F.col("page_number").cast("int").alias("page_number"), "chunk_text")
+    rows = texts.join(about, "chunk_id", "left").select("chunk_id", "page_number", "chunk_text", "lines", "title")
     picked = texts.filter(F.length("chunk_text") > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)
-    sample = picked.join(about, "doc_id", "left").orderBy(F.xxhash64("chunk_id"), "chunk_id").toArrow().to_pylist()
+    sample = picked.join(about, "chunk_id", "left").orderBy(F.xxhash64("chunk_id"), "chunk_id").toArrow().to_pylist()
     model = LineModel([lines_of(r["chunk_text"], r["page_number"], set(r["lines"] or ()), folded(r["title"] or "")) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
