@@ -142,3 +142,16 @@ def normalized_agents(manifests: DataFrame) -> DataFrame:
         F.when(F.size(tools) > 0, tools).otherwise(F.array(F.lit("agent"))).alias("requires"),
     )
     return rows.filter("id <> '' AND name <> ''")
+
+
+def by_precedence(payload: Column | str, manifest: Column | str, default: str) -> Column:
+    """A request's value, else its agent's, else the default; only empty values fall through."""
+    return F.coalesce(filled(col(payload)), filled(col(manifest)), F.lit(default))
+
+
+def resolved_agents(requests: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Each request (agent_id) with the agent of that id, else the first by name and id; ``manifests`` is a short list."""
+    named = manifests.select(*[F.col(c).alias(f"agent_{c}") for c in manifests.columns])
+    first = manifests.orderBy("name", "id").limit(1).select(F.struct(*manifests.columns).alias("_first"))
+    joined = requests.withColumnRenamed("agent_id", "_asked").join(named, F.col("_asked") == F.col("agent_id"), "left").crossJoin(F.broadcast(first))
+    return joined.select(*[F.col("_asked").alias("asked_id") if c == "agent_id" else F.col(c) for c in requests.columns], *[F.coalesce(f"agent_{c}", f"_first.{c}").alias(f"agent_{c}") for c in manifests.columns])

@@ -643,3 +643,26 @@ def version_fence(spark, d):
     rows = _messages(spark, d).withColumn("version", F.col("seq") % 3)
     versions = rows.select("notebook_id").distinct().withColumn("version", F.char_length("notebook_id") % 3)
     return E.fenced(rows, versions).select("id", "version")
+
+
+@query(_SQL["log_rotation_windows"])
+def stream_rotation_windows(spark, d):
+    """The same windows from a stream of the events file, with a watermark."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return E.finished(E.rotation_windows(stream, late="1 day")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", F.round("value", 4).alias("value"))
+
+
+@query("SELECT doc_id AS id, source AS notebook_id, list_last(string_split(coalesce(filepath, ''), '/')) AS filename, CASE WHEN e IN ('.pdf', '.docx', '.xlsx') THEN e[2:] ELSE 'other' END AS file_type, 'new' AS status, coalesce(m, 0) + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS sort_order FROM (SELECT *, lower(regexp_extract(list_last(string_split(coalesce(filepath, ''), '/')), '.(\\.[^.]+)$', 1)) AS e FROM documents WHERE NOT is_indexed AND source IS NOT NULL) LEFT JOIN (SELECT source, max(year) AS m FROM documents WHERE is_indexed GROUP BY 1) USING (source)")
+def register_sources(spark, d):
+    docs = table(spark, d, "documents").withColumnRenamed("source", "notebook_id")
+    have = docs.filter("is_indexed").select("notebook_id", F.col("year").cast("bigint").alias("sort_order"))
+    new = docs.filter("NOT is_indexed AND notebook_id IS NOT NULL").select(F.col("doc_id").alias("id"), "notebook_id", F.col("filepath").alias("path"))
+    return files.registered(new, have).select("id", "notebook_id", "filename", "file_type", "status", "sort_order")
+
+
+@query("SELECT s_suppkey, coalesce(a.s_name, f.s_name) AS agent, CASE WHEN s_suppkey % 2 = 0 THEN 'asked' WHEN coalesce(a.n, f.n) % 3 = 0 THEN 'default' ELSE 'manifest' END AS provider FROM (SELECT s_suppkey, s_suppkey + 5 AS want FROM supplier) r LEFT JOIN (SELECT s_suppkey AS n, s_name FROM supplier WHERE s_suppkey <= 8) a ON a.n = want, (SELECT s_suppkey AS n, s_name FROM supplier WHERE s_suppkey <= 8 ORDER BY s_name LIMIT 1) f")
+def agent_resolve(spark, d):
+    rows = table(spark, d, "supplier")
+    manifests = rows.filter("s_suppkey <= 8").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("manifest").alias("provider"))
+    asked = rows.select("s_suppkey", (F.col("s_suppkey") + 5).cast("string").alias("agent_id"), F.when(F.col("s_suppkey") % 2 == 0, "asked").otherwise("").alias("own"))
+    return chat.resolved_agents(asked, manifests).select("s_suppkey", F.col("agent_name").alias("agent"), chat.by_precedence("own", "agent_provider", "default").alias("provider"))

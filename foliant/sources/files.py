@@ -181,3 +181,57 @@ def latest_file(files: DataFrame, prefix: str) -> DataFrame:
 def with_defaults(rows: DataFrame, columns: list[str], mark: str = "-") -> DataFrame:
     """Missing log fields shown as a dash."""
     return rows.withColumns({c: F.coalesce(filled(F.col(c).cast("string")), F.lit(mark)) for c in columns})
+
+
+def sanitized_name(c: Column | str) -> Column:
+    """A file name without folders and unsafe characters; ``upload.bin`` if nothing is left."""
+    base = F.element_at(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"[/\\]"), -1)
+    return F.coalesce(filled(F.regexp_replace(base, r"^[.\s]+|[\x00-\x1f<>:\"|?*]", "")), F.lit("upload.bin"))
+
+
+def registered(new: DataFrame, sources: DataFrame, group: str = "notebook_id") -> DataFrame:
+    """New files (id, notebook, path) as source rows: name, type, status ``new`` and the next places of their notebook."""
+    last = sources.groupBy(group).agg(F.max("sort_order").alias("_last"))
+    at = F.row_number().over(Window.partitionBy(group).orderBy("id"))
+    rows = new.join(last, group, "left")
+    return rows.select("id", group, basename("path").alias("filename"), F.col("path").alias("file_path"), file_type("path").alias("file_type"), F.lit("new").alias("status"), F.lit(True).alias("is_enabled"), (F.coalesce("_last", F.lit(0)) + at).cast("bigint").alias("sort_order"))
+
+
+def with_language(documents: DataFrame, detect, text: str = "text", key: str = "doc_id", head: int = 1000) -> DataFrame:
+    """(key, language) by a pluggable detector of the first characters; empty texts and failures are ``unknown``."""
+    kind = dict(documents.dtypes)[key]
+
+    def one(t: str | None) -> str:
+        try:
+            return (detect(t) if t and t.strip() else None) or "unknown"
+        except Exception:  # noqa: BLE001 - any failure of a detector
+            return "unknown"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(t) for t in batch.column(1).to_pylist()], pa.string())], [key, "language"])
+
+    return documents.select(key, F.substring(text, 1, head)).mapInArrow(run, f"{key} {kind}, language string")
+
+
+def discovered_agents(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests of ``*/manifest.json`` in a folder, in order of path; broken ones are skipped."""
+    schema = "id string, name string, description string, version string, provider string, model string, requires array<string>"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/*/manifest.json").withColumn("path", F.input_file_name()).orderBy("path")
+
+
+def agents(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry's agents, or those found in the folders where there is no registry or an empty one."""
+    try:
+        listed = agent_registry(spark, f"{folder}/registry.json")
+        if not listed.isEmpty():
+            return listed
+    except Exception:  # noqa: BLE001 - no registry file
+        pass
+    return discovered_agents(spark, folder).drop("path")
+
+
+def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, path): files by their subfolder, dot files left out."""
+    rows = binary_files(spark, folder).select("path")
+    return rows.select(F.element_at(F.split("path", "/"), -2).alias("kind"), "path")

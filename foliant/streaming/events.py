@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foliant.session import checkpoint_dir
+
 
 def is_client(event: Column | str = "event_type", prefix: str = "client.") -> Column:
     c = F.col(event) if isinstance(event, str) else event
@@ -22,7 +25,8 @@ def routed(events: DataFrame, event: str = "event_type") -> tuple[DataFrame, Dat
 def rotation_windows(events: DataFrame, ts: str = "ts", width: str = "4 hours", late: str | None = None) -> DataFrame:
     """(window_start, events, value): tumbling windows as long as a log file; ``late`` is the watermark of a stream."""
     if late:
-        events = events.withWatermark(ts, late)
+        # A watermark needs an instant; local timestamps are taken in the session's zone.
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return events.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("window_start"), "events", "value")
 
 
@@ -47,3 +51,12 @@ def index_stream(files: DataFrame, index_batch: Callable[[DataFrame, int], None]
     """Runs ``index_batch(rows, batch id)`` on each micro-batch; the checkpoint replays a lost one under the same id."""
     writer = files.writeStream.foreachBatch(index_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What an aggregating stream holds once it has read all that is there now; for results as small as its windows."""
+    spark = stream.sparkSession
+    name = f"stream_{uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)

@@ -270,3 +270,23 @@ def test_stream_windows_with_late_rows(spark, tmp_path):
     q = events.rotation_windows(stream, late="1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["events"], r["value"]) for r in spark.table("w").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_names_languages_and_agent_folders(spark, tmp_path):
+    df = spark.createDataFrame([("a/../b?.txt",), ("..",), (None,), ("c\\d.pdf",)], "n string")
+    assert [r[0] for r in df.select(files.sanitized_name("n")).collect()] == ["b.txt", "upload.bin", "upload.bin", "d.pdf"]
+
+    def detect(t):
+        if "!" in t:
+            raise ValueError
+        return "en"
+
+    docs = spark.createDataFrame([(1, "hello"), (2, " "), (3, None), (4, "!")], "doc_id bigint, text string")
+    assert {tuple(r) for r in files.with_language(docs, detect).collect()} == {(1, "en"), (2, "unknown"), (3, "unknown"), (4, "unknown")}
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text('{"id": "%s", "name": "N"}' % name)
+    assert [r["id"] for r in files.agents(spark, str(tmp_path)).collect()] == ["a", "b"]
+    (tmp_path / "registry.json").write_text('{"agents": [{"id": "r", "name": "R"}]}')
+    assert [r["id"] for r in files.agents(spark, str(tmp_path)).collect()] == ["r"]
+    assert {r["kind"] for r in files.knowledge_files(spark, str(tmp_path)).collect()} >= {"a", "b"}
