@@ -91,13 +91,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # White space and placeholders as in the operators.
 _SP = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
-_STRIP = rf"regexp_replace({{}}, '^[{_SP}]+|[{_SP}]+$', '', 'g')".replace("{1c}", "{{1c}}").replace("{1f}", "{{1f}}").replace("{85}", "{{85}}").replace("{Z}", "{{Z}}")
-_BLANK = rf"NOT coalesce(regexp_matches({{}}, '[^{_SP}]'), false)".replace("{1c}", "{{1c}}").replace("{1f}", "{{1f}}").replace("{85}", "{{85}}").replace("{Z}", "{{Z}}")
 _NONE = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
 
 
+def _strip(c: str) -> str:
+    return "regexp_replace(" + c + ", '^[" + _SP + "]+|[" + _SP + "]+$', '', 'g')"
+
+
+def _blank(c: str) -> str:
+    return "NOT coalesce(regexp_matches(" + c + ", '[^" + _SP + "]'), false)"
+
+
 def _real(c: str) -> str:
-    return f"coalesce(lower({_STRIP.format(c)}) NOT IN ({_NONE}), false)"
+    return f"coalesce(lower({_strip(c)}) NOT IN ({_NONE}), false)"
 
 
 P4_SQL = rf"""WITH s AS (SELECT notebook_id, min(chunk_size) AS size FROM parsing_settings WHERE chunk_size > 0 GROUP BY 1)
@@ -105,7 +111,7 @@ SELECT DISTINCT c.chunk_id FROM chunks c JOIN s USING (notebook_id)
 WHERE c.chunk_id IS NOT NULL AND len(list_filter(regexp_split_to_array(c.chunk_text, '[{_SP}]+'), lambda x: x <> '')) > s.size
 AND NOT EXISTS (SELECT 1 FROM chunks o WHERE o.parent_chunk_id = c.chunk_id AND o.chunk_id IS DISTINCT FROM c.chunk_id)"""
 
-P6_SQL = rf"""WITH RECURSIVE raw AS (SELECT *, regexp_replace(lower({_STRIP.format('file_hash')}), '^sha-?256\s*[:=\-]?\s*|^0x', '') AS x, nullif(lower(regexp_replace(text, '[{_SP}]+', '', 'g')), '') AS t FROM documents WHERE doc_id IS NOT NULL),
+P6_SQL = rf"""WITH RECURSIVE raw AS (SELECT *, regexp_replace(lower({_strip('file_hash')}), '^sha-?256\s*[:=\-]?\s*|^0x', '') AS x, nullif(lower(regexp_replace(text, '[{_SP}]+', '', 'g')), '') AS t FROM documents WHERE doc_id IS NOT NULL),
 d AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9a-f]{{64}}') AND x <> repeat(x[1], 64) THEN x END AS h FROM raw),
 loose AS (SELECT DISTINCT t FROM d WHERE h IS NULL AND t IS NOT NULL),
 e AS (SELECT DISTINCT h, t FROM d SEMI JOIN loose USING (t) WHERE h IS NOT NULL),
@@ -113,7 +119,7 @@ reach(h, r) AS (SELECT h, h FROM e UNION SELECT reach.h, e2.h FROM reach JOIN e
 label AS (SELECT h, min(r) AS l FROM reach GROUP BY 1),
 via AS (SELECT t, min(l) AS v FROM e JOIN label USING (h) GROUP BY 1),
 g AS (SELECT d.*, coalesce(l, d.h, v, 'text:' || d.t, 'doc:' || doc_id) AS g,
-  NOT (coalesce(is_indexed, false) AND {_BLANK.format('index_error')}) AS unusable,
+  NOT (coalesce(is_indexed, false) AND {_blank('index_error')}) AS unusable,
   {_real('title')}::INT + (len(list_filter(authors, lambda a: {_real('a')})) > 0)::INT + coalesce(year BETWEEN 1450 AND 2100, false)::INT AS filled
   FROM d LEFT JOIN label ON label.h = d.h LEFT JOIN via ON via.t = d.t AND d.h IS NULL)
 SELECT min(doc_id) AS group_doc_id, arg_min(doc_id, k) AS best_doc_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY unusable, filled DESC, indexed_at DESC NULLS LAST, doc_id) AS k FROM (SELECT g, doc_id, unusable, coalesce(filled, 0) AS filled, indexed_at FROM g))
