@@ -164,8 +164,8 @@ packed(chunk_id, ls, i, cur, n, done) AS (
   CASE WHEN full_ OR i > len(ls) THEN n + 1 ELSE n END,
   CASE WHEN full_ OR i > len(ls) THEN array_to_string(list_concat(ls[1:2], cur), chr(10)) END
  FROM (SELECT *, i <= len(ls) AND len(cur) > 0 AND greatest(1, floor(len({WORDS.format("array_to_string(list_concat(ls[1:2], list_append(cur, ls[i])), chr(10))")}) * 1.3::DOUBLE)) > 40 AS full_ FROM packed WHERE i <= len(ls) + 1))
-SELECT chunk_id, n - 1 AS piece, done AS piece_text FROM packed WHERE done IS NOT NULL
-UNION ALL SELECT chunk_id, 0, chunk_text FROM t WHERE len(ls) <= 2"""
+SELECT chunk_id, (n - 1)::BIGINT AS piece, done AS piece_text FROM packed WHERE done IS NOT NULL
+UNION ALL SELECT chunk_id, 0::BIGINT, chunk_text FROM t WHERE len(ls) <= 2"""
 )
 def chunk_table_pack(spark, d):
     rows = table(spark, d, "chunks").filter("chunk_type = 'table'").dropDuplicates(["chunk_id"])
@@ -635,7 +635,7 @@ def column_layout(spark, d):
     side = F.col("n_nationkey") % 2
     y = F.row_number().over(Window.partitionBy("n_regionkey", side).orderBy("n_nationkey")) - 1
     lines = table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), F.lit(1).alias("page"), y.cast("double").alias("y0"), (50.0 + 250 * side).alias("x0"), F.col("n_name").alias("text"), F.when((side == 0) & (y == 0), 16.0).otherwise(10.0).alias("size"))
-    return files.page_lines(lines).select("doc_id", F.col("pos").cast("int").alias("pos"), "text", "chunk_type")
+    return files.page_lines(lines).select("doc_id", "pos", "text", "chunk_type")
 
 
 @query(f"WITH {MESSAGES} SELECT id, version FROM (SELECT id, seq % 3 AS version, length(notebook_id) % 3 AS now_ FROM m) WHERE version = now_")
