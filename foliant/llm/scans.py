@@ -178,7 +178,7 @@ class Glyphs:
         best, most = None, 0
         plain = word.isalpha()
         own = self.lexicon.count(word) if plain else 0
-        if not (plain and own >= 60) and (len(word) >= 3 or two_scripts(word)):
+        if len(word) >= 3 or two_scripts(word):
             first = {unicodedata.normalize("NFC", v) for v in (word.translate(_TO_LATIN), word.translate(_TO_CYRILLIC)) if v != word}
             first.update(self._variants(word))
             pool = set(first)
@@ -212,8 +212,7 @@ def misread(token: str, glyphs: Glyphs) -> tuple[str, str] | None:
     if len(word) < (2 if two_scripts(low) else 3) or sum(c.isalpha() for c in word) < 2 or sum(c.isdigit() for c in word) * 2 >= len(word):
         return None
     if word.isalpha():
-        if glyphs.lexicon.count(low) >= 60:
-            return None
+        pass  # judged by its count against its correction's alone, whatever the size of the corpus
     elif not all(c.isalpha() or c in "'’-" or _ODD.match(c) for c in word) or (word[-1] in "|!" and len(word) < 4):
         return None
     elif not _ODD.search(word):

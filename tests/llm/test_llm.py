@@ -313,6 +313,17 @@ def test_misread_words_and_codes(glyphs):
         assert fixed(clean, glyphs) == (set(), clean)
 
 
+def test_misreadings_are_judged_by_ratio_at_every_size():
+    for size in (1, 10, 1000):
+        counts = np.zeros(2 * scans.BUCKETS, np.int32)
+        for word, n in (("then", 400), ("thcn", 20), ("clear", 100), ("dear", 20)):
+            for p in scans.places(word):
+                counts[p] += n * size
+        sized = scans.Glyphs(scans.Lexicon(counts))
+        assert scans.misread("thcn", sized) == ("thcn", "then")
+        assert scans.misread("then", sized) is None and scans.misread("dear", sized) is None
+
+
 def test_headers_and_page_numbers(glyphs):
     body = "The small pump is behind the green door.\n{}\nWe clean the filter before the night shift begins."
     assert fixed(body.format("- 12 -"), glyphs, 12)[0] == {"pageno"}
