@@ -59,6 +59,7 @@ _PAGE_FORMS = [
     (2, re.compile(rf"^{_N}[–-]({_N})$")),
     (1, re.compile(rf"^({_N})$")),
 ]
+_ROMAN = re.compile(r"^[-–—~\[(]?\s*(x{0,3}(?:ix|iv|v?i{0,3}))\s*[-–—~\])]?$", re.IGNORECASE)
 _BREAK_MARKS = "-‐‑­¬~=_]|†—–"
 _HYPHENS = "-‐‑­¬"
 _STOP = re.compile(r"[.!?…:;]['\"”»’)\]]*$")
@@ -241,13 +242,18 @@ class Line:
     small: bool  # begins in lower case
     short: bool
     bare: bool
+    place: int = 0  # 0 inside, 1 the first or last line that isn't empty
+    beside: bool = False  # next to a bare number
+    marked: bool = False  # written as a heading
 
     def symbol(self) -> int:
-        kind = 0 if not self.text else 1 if self.stop else 2 if self.short else 3
-        return ((self.page * 4 + self.recurs * 2 + self.titled) * 4 + kind) * 2 + self.small
+        kind = 0 if not self.text else 4 if self.marked else 1 if self.stop else 2 if self.short else 3
+        return ((((self.page * 4 + self.recurs * 2 + self.titled) * 5 + kind) * 2 + self.small) * 2 + self.place) * 4 + self.bare * 2 + self.beside
 
 
-SYMBOLS = 5 * 4 * 4 * 2
+SYMBOLS = 5 * 4 * 5 * 2 * 2 * 4
+#: Log-odds that the rules of ``seeds`` lend to a state; features and neighbouring lines can outweigh them.
+PRIOR = 3.0
 STATES = ("body", "heading", "header", "pageno", "reading", "break")
 
 
@@ -260,7 +266,17 @@ def page_mark(text: str, page: int | None) -> int:
             if page is None:
                 return strength
             return 3 if str(page) in [n.lstrip("0") or "0" for n in numbers if n.isdigit()] else 4
-    return 0
+    if page is not None and text.translate(DIGITS) == str(page):
+        return 3
+    n = roman(text)
+    return 0 if not n or page not in (None, n) else 1 if page is None else 3
+
+
+def roman(text: str) -> int:
+    """Value of a lone small Roman numeral up to 39, else 0."""
+    m = _ROMAN.match(text)
+    values = [{"i": 1, "v": 5, "x": 10}[c] for c in m.group(1).lower()] if m else []
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
 
 
 def lines_of(text: str, page: int | None, recurring: set[int], title: str) -> list[Line]:
@@ -274,15 +290,22 @@ def lines_of(text: str, page: int | None, recurring: set[int], title: str) -> li
         known = bool(letters) and len(letters) >= 4
         titled = known and len(title) >= 6 and title in letters and len(letters) <= 3 * len(title) and "(" not in bare
         recurs = known and not bare[0].islower() and digest(letters) in recurring
-        out.append(Line(bare, mark, recurs, titled, bool(_STOP.search(bare)), bare[:1].islower(), len(bare) < 0.75 * width, bool(re.fullmatch(_N, bare)) and any(c.isdigit() for c in bare)))
+        number = bool(re.fullmatch(_N, bare)) and any(c.isdigit() for c in bare) or bool(mark and bare.isalpha())
+        out.append(Line(bare, mark, recurs, titled, bool(_STOP.search(bare)), bare[:1].islower(), len(bare) < 0.75 * width, number))
+    there = [i for i, x in enumerate(out) if x.text]
+    for i in there:
+        x = out[i]
+        x.place = int(i in (there[0], there[-1]))
+        x.beside = any(out[j].bare for j in (i - 1, i + 1) if 0 <= j < len(out))
+        x.marked = x.text[0] == "#" or x.text[-1] == ":" and x.short
     return out
 
 
 def seeds(lines: list[Line]) -> list[int | None]:
-    """States of the lines that leave no doubt; None for the others."""
+    """States that rules would give; None where they have none."""
     out: list[int | None] = []
     for i, x in enumerate(lines):
-        beside = any(lines[j].bare for j in (i - 1, i + 1) if 0 <= j < len(lines))
+        beside = x.beside
         if not x.text:
             out.append(5)
         elif x.page in (2, 3) and not (x.bare and beside and i + 1 < len(lines)):
@@ -299,16 +322,41 @@ def seeds(lines: list[Line]) -> list[int | None]:
 
 
 class LineModel:
-    """Hidden Markov model of the lines of a page: counts of seeded lines, then one re-estimation on its own labels."""
+    """Hidden Markov model of the lines of a page: counts of the rules' states, then one re-estimation on its own labels.
+
+    ``hidden``: the same pages as they look without their page number, or None;
+    their lines count with the states of the numbered page, so the model learns
+    what a number is whose page is unknown.
+    """
 
-    def __init__(self, pages: list[list[Line]]) -> None:
+    def __init__(self, pages: list[list[Line]], hidden: list[list[Line] | None] | None = None) -> None:
+        self.paths: dict[tuple, list[int]] = {}
         symbols = [[x.symbol() for x in p] for p in pages]
-        self._count(symbols, [seeds(p) for p in pages])
-        self._count(symbols, [[s if s is not None else k for s, k in zip(seeds(p), self.decode(y), strict=True)] for p, y in zip(pages, symbols, strict=True)])
+        blind = [(i, [x.symbol() for x in h]) for i, h in enumerate(hidden or []) if h is not None]
+        guesses: list[list[int | None]] = [seeds(p) for p in pages]
+        for _ in range(2):
+            self._count(symbols + [y for _, y in blind], guesses + [guesses[i] for i, _ in blind])
+            guesses = [self.states(p) for p in pages]
+        self._count(symbols + [y for _, y in blind], guesses + [guesses[i] for i, _ in blind])
+        self.paths = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"paths": {}}
+
+    def states(self, lines: list[Line]) -> list[int]:
+        """The decoded state of every line; what the rules say is a prior."""
+        key = tuple((x.symbol(), s) for x, s in zip(lines, seeds(lines), strict=True))
+        path = self.paths.get(key)
+        if path is None:
+            if len(self.paths) > 1 << 15:
+                self.paths.clear()
+            path = self.paths[key] = self.decode([y for y, _ in key], [s for _, s in key])
+        return path
 
     def _count(self, symbols: list[list[int]], states: list[list[int | None]]) -> None:
         n = len(STATES)
-        emit, move, start = np.full((n, SYMBOLS), 0.05), np.full((n, n), 0.5), np.full(n, 0.5)
+        self.paths.clear()
+        emit, move, start = np.full((n, SYMBOLS), 0.001), np.full((n, n), 0.5), np.full(n, 0.5)
         for ys, ss in zip(symbols, states, strict=True):
             before = None
             for y, s in zip(ys, ss, strict=True):
@@ -323,15 +371,15 @@ class LineModel:
         self.move = np.log(move / move.sum(axis=1, keepdims=True)).T.tolist()
         self.emit = np.log(emit / emit.sum(axis=1, keepdims=True)).T.tolist()
 
-    def decode(self, ys: list[int]) -> list[int]:
-        """Most probable states (Viterbi)."""
+    def decode(self, ys: list[int], priors: list[int | None] | None = None) -> list[int]:
+        """Most probable states (Viterbi); ``priors``: states that get PRIOR more."""
         if not ys:
             return []
         n = range(len(STATES))
-        score = [s + e for s, e in zip(self.start, self.emit[ys[0]], strict=True)]
+        emits = [self.emit[y] if p is None else [e + PRIOR * (k == p) for k, e in enumerate(self.emit[y])] for y, p in zip(ys, priors or [None] * len(ys), strict=True)]
+        score = [s + e for s, e in zip(self.start, emits[0], strict=True)]
         back = []
-        for y in ys[1:]:
-            emit = self.emit[y]
+        for emit in emits[1:]:
             step, fresh = [], []
             for k in n:
                 move = self.move[k]
@@ -377,12 +425,7 @@ def repair(text: str, page: int | None, recurring: set[int], title: str, glyphs:
     """Kinds of noise in a scanned text, and the text as paragraphs without it."""
     lines = lines_of(text, page, recurring, title)
     noise: set[str] = set()
-    if any(x.page or x.recurs or x.titled or x.bare for x in lines):
-        sure = seeds(lines)
-        states = [s if s is not None else k for s, k in zip(sure, model.decode([x.symbol() for x in lines]), strict=True)]
-        states = [0 if s in (2, 3) and not (x.page or x.recurs or x.titled) else s for s, x in zip(states, lines, strict=True)]
-    else:
-        states = [s or 0 for s in seeds(lines)]
+    states = model.states(lines)
     kept: list[tuple[str, int]] = []
     for x, s in zip(lines, states, strict=True):
         if s == 2:
@@ -491,7 +534,8 @@ def repaired(chunks: DataFrame, settings: DataFrame, documents: DataFrame) -> Da
     rows = texts.join(about, "chunk_id", "left").select("chunk_id", "page_number", "chunk_text", "lines", "title")
     picked = texts.filter(F.length("chunk_text") > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)
     sample = picked.join(about, "chunk_id", "left").orderBy(F.xxhash64("chunk_id"), "chunk_id").toArrow().to_pylist()
-    model = LineModel([lines_of(r["chunk_text"], r["page_number"], set(r["lines"] or ()), folded(r["title"] or "")) for r in sample])
+    seen = [(r["chunk_text"], r["page_number"], set(r["lines"] or ()), folded(r["title"] or "")) for r in sample]
+    model = LineModel([lines_of(*x) for x in seen], [lines_of(t, None, ls, title) if n is not None else None for t, n, ls, title in seen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -334,6 +334,21 @@ def test_headers_and_page_numbers(glyphs):
     assert fixed(body.format("Storage 3"), glyphs, 12)[0] == set()
 
 
+def test_every_line_is_decided_by_the_model(glyphs, monkeypatch):
+    body = "Pump notes\nThe small pump is behind the green door.\nWe clean the filter before the night shift begins.\n{}"
+    recurring = {scans.digest(scans.folded("Pump notes"))}
+    pages = [(body.format(f"- {n} -" if n % 2 else n), n) for n in range(1, 60)]
+    known = [scans.lines_of(t, n, recurring, "") for t, n in pages]
+    model = scans.LineModel(known, [scans.lines_of(t, None, recurring, "") for t, _ in pages])
+    assert scans.repair(body.format("17"), None, recurring, "", glyphs, model)[0] == {"header", "pageno"}
+    assert scans.repair(body.format("viii"), 8, recurring, "", glyphs, model)[0] == {"header", "pageno"}
+    assert scans.repair(body.format("ix"), 8, recurring, "", glyphs, model)[0] == {"header"}
+    monkeypatch.setattr(scans, "seeds", lambda lines: [0] * len(lines))  # rules that miss every running line
+    assert scans.repair(body.format("- 8 -"), 8, recurring, "", glyphs, model)[0] == {"header", "pageno"}
+    monkeypatch.setattr(scans, "seeds", lambda lines: [2] * len(lines))  # and such that take all for headers
+    assert "small pump" in scans.repair(body.format("- 9 -"), 9, recurring, "", glyphs, model)[1]
+
+
 def test_scanned_chunks(spark, documents):
     page = "Pump house notes\nThe small pump is mea-\nsured. It was measured here and measured there.\n- {} -"
     rows = [(f"c{i}", 1, "n", "text", None, None, i, page.format(i)) for i in (3, 4)] + [("c3", 1, "n", "text", None, None, 3, page.format(3)), ("x", 1, "m", "text", None, None, 3, page.format(3)), ("y", 2, "n", "table", None, None, 3, page.format(3)), ("z", 2, "n", "text", None, None, None, None), ("w", None, "n", "text", None, None, None, "")]
