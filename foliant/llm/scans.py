@@ -30,8 +30,8 @@ BUCKETS = 1 << 21
 SAMPLE = 4000
 #: Count from which a word is known, and how much more frequent a correction must be than what was read.
 KNOWN, RATIO = 4, 12
-#: A line that recurs in more documents than this, and than one in SHARED, is a common heading and no document's header.
-DOCUMENTS, SHARED = 12, 200
+#: A running line stands on at least one in PAGES of its document's chunks.
+PAGES = 3
 
 # What scanners read, and what stood there.
 CONFUSIONS = [
@@ -485,8 +485,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring_lines(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, lines): hashes of a chunk's lines that recur in other chunks of its document and are no common headings.
+    """(chunk_id, lines): hashes of a chunk's lines that run through its document, on at least one in PAGES of its chunks.
 
+    How many documents share a line doesn't count: one issuer may hold any part
+    of the rows. Page numbers and headings are left out.
     Lines are compared by hash, at most once per chunk; what a chunk gets is
     bounded by its own lines, however many chunks its document has.
     """
@@ -496,7 +498,7 @@ def recurring_lines(chunks: DataFrame) -> DataFrame:
             docs, hashes, owners = [], [], []
             for doc, chunk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for line in {t.strip() for t in text.splitlines()}:
-                    if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS:
+                    if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS and not page_mark(line, None):
                         letters = folded(line)
                         if len(letters) >= 4:
                             docs.append(doc)
@@ -510,10 +512,10 @@ def recurring_lines(chunks: DataFrame) -> DataFrame:
     # Headings, whatever their number, are no running headers.
     heads = chunks.select(F.explode(F.array("section_header", "parent_header")).alias("t")).filter(F.col("t").isNotNull()).distinct()
     recurring = recurring.join(heads.mapInArrow(_hashed, "h bigint").distinct(), "h", "left_anti")
-    docs = chunks.select("doc_id").distinct().count()
-    common = recurring.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(DOCUMENTS, docs // SHARED)).select("h")
-    recurring = recurring.join(common, "h", "left_anti")
-    return lines.join(recurring, ["doc_id", "h"], "left_semi").groupBy("chunk_id").agg(F.collect_set("h").alias("lines"))
+    hits = cut(lines.join(recurring, ["doc_id", "h"], "left_semi").distinct())
+    size = known.select("doc_id", "chunk_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    running = hits.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(size, "doc_id").filter(F.col("n") * PAGES >= F.col("pages"))
+    return hits.join(running, ["doc_id", "h"], "left_semi").groupBy("chunk_id").agg(F.collect_set("h").alias("lines"))
 
 
 def repaired(chunks: DataFrame, settings: DataFrame, documents: DataFrame) -> DataFrame:

@@ -361,6 +361,14 @@ def test_scanned_chunks(spark, documents):
     assert scans.noise_kinds(chunks.limit(0), settings, docs).count() == 0
 
 
+def test_running_lines_of_one_issuer_in_many_documents(spark):
+    page = "North Works - Main Office\nThe small pump is behind the door {}.\n{}\nIt is red."
+    rows = [(f"{d}-{n}", d, page.format(n, "Table 4" if n < 2 else "It is dry.")) for d in range(30) for n in range(8)]
+    chunks = spark.createDataFrame([(c, d, t, None, None) for c, d, t in [*rows, *rows[:40]]], "chunk_id string, doc_id bigint, chunk_text string, section_header string, parent_header string")
+    got = {r["chunk_id"]: r["lines"] for r in scans.recurring_lines(chunks).collect()}
+    assert got == {c: [scans.digest(scans.folded("North Works - Main Office"))] for c, _, _ in rows}
+
+
 # --- 8: mixtures
 
 
