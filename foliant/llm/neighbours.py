@@ -1,7 +1,7 @@
 """Most similar vectors by randomly rotated one-bit codes (problem 3).
 
-Every vector goes to the list of its nearest centre and, as a visitor, to the
-few lists whose centre is almost as near. Inside a list a vector is its
+Every vector goes to the list of its nearest centre and, as a visitor, to every
+list whose centre is almost as near. Inside a list a vector is its
 residual from the centre, randomly rotated and kept as one sign bit per
 dimension with two scalars: the residual's length and the inner product of the
 unit residual with its own code. Inner products are estimated from the packed
@@ -32,8 +32,9 @@ class Index:
 
     ``sample_rows`` bounds the rows on which the centres are fitted, ``max_lists``
     the centres, and with them what is sent to every task (at most
-    max_lists x dim x 4 bytes, 1 MB here). ``margin`` and ``max_visits`` say how
-    much worse than the nearest a centre may be for a list to be visited too.
+    max_lists x dim x 4 bytes, 1 MB here). ``margin`` says how much worse than
+    the nearest a centre may be for a list to be visited too. A list meets its
+    visitors ``visitors`` at a time, so a dense region is never gathered.
     """
 
     dim: int = 64
@@ -44,7 +45,7 @@ class Index:
     sample_rows: int = 65536
     iterations: int = 4
     margin: float = 0.04
-    max_visits: int = 3
+    visitors: int = 32768
     epsilon: float = 2.5
     seed: int = 42
 
@@ -157,11 +158,11 @@ def _first(group: np.ndarray, sim: np.ndarray, ids: np.ndarray, keep: int) -> np
 
 
 def list_edges(
-    x: np.ndarray, ids: list[np.ndarray], home: np.ndarray, centre: np.ndarray, turn: np.ndarray, p: Index, block: int = 1024
+    x: np.ndarray, ids: list[np.ndarray], home: np.ndarray, centre: np.ndarray, turn: np.ndarray, p: Index, block: int = 1024, since: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, row id, similarity) of one list: each entry's k + 1 most similar row ids of at least the wanted similarity.
 
-    Entries are compared with those at home here, block by block; of each block
+    Entries from ``since`` on are compared with those at home here, block by block; of each block
     only k + 1 per entry are kept, so memory doesn't grow with the matches.
     """
     keep = p.k + 1
@@ -174,7 +175,7 @@ def list_edges(
     for b in range(0, len(at_home), 4 * block):
         there = at_home[b : b + 4 * block]
         codes = Codes.of(x[there], centre, turn)
-        for a in range(0, len(x), block):
+        for a in range(since, len(x), block):
             guess, bound = estimate(x[a : a + block], codes, centre, turn, p.epsilon)
             i, j = np.nonzero(guess + bound >= p.min_similarity)
             i, j = i + a, there[j]
@@ -216,25 +217,22 @@ def _assign(centres: np.ndarray, p: Index):
             first = order[start]
             x, k1, k2 = _unit(x[first]), k1[first], k2[first]
             near = x @ centres.T
-            wide = min(p.max_visits + 1, len(centres))
-            top = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-            score = np.take_along_axis(near, top, axis=1)
             best = near.argmax(axis=1)
-            row, col = np.nonzero(score >= score.max(axis=1, keepdims=True) - p.margin)
-            to = top[row, col]
+            rows, tos = np.nonzero(near >= near.max(axis=1, keepdims=True) - p.margin)
             raw = np.ascontiguousarray(x)
-            lists = pa.array([ids[r] for r in row], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to.astype(np.int32)),
-                    pa.array(best[row] == to),
-                    pa.array(k1[row]),
-                    pa.array(k2[row]),
-                    lists,
-                    pa.array([raw[r].tobytes() for r in row], pa.binary()),
-                ],
-                ["list", "home", "k1", "k2", "ids", "x"],
-            )
+            for a in range(0, len(rows), p.visitors):
+                row, to = rows[a : a + p.visitors], tos[a : a + p.visitors]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to.astype(np.int32)),
+                        pa.array(best[row] == to),
+                        pa.array(k1[row]),
+                        pa.array(k2[row]),
+                        pa.array([ids[r] for r in row], pa.list_(pa.int64())),
+                        pa.array([raw[r].tobytes() for r in row], pa.binary()),
+                    ],
+                    ["list", "home", "k1", "k2", "ids", "x"],
+                )
 
     return run
 
@@ -242,7 +240,8 @@ def _assign(centres: np.ndarray, p: Index):
 def _search(centres: np.ndarray, p: Index):
     turn = rotation(p.dim, p.seed)
 
-    def one(number: int, parts: list[pa.Table]) -> pa.RecordBatch:
+    def entries(parts: list[pa.Table]) -> tuple:
+        """(k1, k2, ids, home, x) of each distinct vector."""
         t = pa.concat_tables(parts)
         k1, k2 = (t.column(c).to_numpy() for c in ("k1", "k2"))
         order = np.lexsort((k2, k1))
@@ -253,27 +252,45 @@ def _search(centres: np.ndarray, p: Index):
         home = t.column("home").to_numpy(zero_copy_only=False)[first].astype(bool)
         raw = t.column("x").combine_chunks().take(pa.array(first))
         x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, p.dim)
-        i, to, sim = list_edges(x, ids, home, centres[number], turn, p)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(k1[first][i]), pa.array(k2[first][i]), pa.array(to.astype(np.int64)), pa.array(sim)], ["k1", "k2", "to", "sim"]
-        )
+        return k1[first], k2[first], ids, home, x
+
+    def edges(number: int, e: tuple, since: int) -> pa.RecordBatch:
+        k1, k2, ids, home, x = e
+        i, to, sim = list_edges(x, ids, home, centres[number], turn, p, since=since)
+        return pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(to.astype(np.int64)), pa.array(sim)], ["k1", "k2", "to", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts = -1, []
+        number, parts, base = -1, [], None
+
+        def met() -> pa.RecordBatch:
+            """What was read so far: the list itself and its first visitors, then further visitors with the list."""
+            nonlocal parts, base
+            e, since = entries(parts), 0
+            if base is None:
+                base = tuple([c for c, h in zip(v, e[3], strict=True) if h] if isinstance(v, list) else v[e[3]] for v in e)
+            else:
+                since = len(base[2])
+                e = tuple(a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(base, e, strict=True))
+            parts = []
+            return edges(number, e, since)
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            marks = t.column("list").to_numpy()
+            marks, home = t.column("list").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
             cuts = np.r_[0, np.flatnonzero(marks[1:] != marks[:-1]) + 1, len(marks)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if marks[a] != number and parts:
-                    yield one(number, parts)
-                    parts = []
-                number = int(marks[a])
+                if marks[a] != number:
+                    if parts:
+                        yield met()
+                    number, base = int(marks[a]), None
                 parts.append(t.slice(a, b - a))
+                # Those at home come first; once a visitor was read, none is missing.
+                if not home[b - 1] and sum(len(x) for x in parts) >= p.visitors:
+                    yield met()
         if parts:
-            yield one(number, parts)
+            yield met()
 
     return run
 
@@ -294,8 +311,8 @@ def similar_pairs(df: DataFrame, id_col: str = "chunk_rowid", vec_col: str = "em
     routed = vectors.select("id", "v", "k1", "k2").mapInArrow(
         _assign(centres, p), "list int, home boolean, k1 bigint, k2 bigint, ids array<bigint>, x binary"
     )
-    edges = spread(routed, "list").sortWithinPartitions("list").mapInArrow(_search(centres, p), "k1 bigint, k2 bigint, to bigint, sim double")
-    # One shuffle by vector serves both aggregations; a vector has at most (k + 2) x (visits + 1) edges.
+    edges = spread(routed, "list").sortWithinPartitions("list", F.desc("home")).mapInArrow(_search(centres, p), "k1 bigint, k2 bigint, to bigint, sim double")
+    # One shuffle by vector serves both aggregations; a vector has at most k + 2 edges from each list it visits, and from each block of its own list's visitors.
     best = (
         edges.repartition("k1", "k2")
         .groupBy("k1", "k2", "to")

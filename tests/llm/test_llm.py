@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,24 @@ def test_similar_pairs_against_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0), params=p).count() == 0
 
 
+def test_dense_region_visits_every_list_within_the_margin():
+    rng = np.random.default_rng(8)
+    x = neighbours._unit(rng.normal(size=64) + 0.22 * rng.normal(size=(3000, 64)))
+    centres = x[:60]
+    p = neighbours.Index(visitors=500)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float32())), pa.array(np.arange(3000)), pa.array(np.zeros(3000, np.int64))], ["id", "v", "k1", "k2"])
+    routed = pa.Table.from_batches(neighbours._assign(centres, p)([rows])).sort_by([("list", "ascending"), ("home", "descending")])
+    best: dict = {}
+    for e in neighbours._search(centres, p)(routed.to_batches(max_chunksize=300)):
+        for a, b, s in zip(*(e.column(c).to_pylist() for c in ("k1", "to", "sim")), strict=True):
+            best.setdefault(a, {})[b] = s
+    near = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(near, 0)
+    want = {(i, int(j)) for i in range(3000) for j in np.argsort(-near[i])[:5] if near[i, j] >= 0.9}
+    got = {(i, j) for i, row in best.items() for j in sorted((j for j in row if j != i), key=lambda j: (-row[j], j))[:5]}
+    assert len(want) > 10_000 and len(want & got) >= 0.98 * len(want)
+
+
 def test_estimates_keep_to_their_bounds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 64)).astype(np.float32)
