@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import basename, filled
-from foliant.functions.vectors import cosine
 
 RRF_K = 60
 # Least normalised score of each chat mode; other modes have none.
@@ -91,13 +90,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, group: str | N
     queries: qid, group, qvec; vectors: group, key, embedding. A group's vectors
     and queries are cut into blocks by their number; each pair of blocks is one
     matrix product that keeps k rows per query, so no task holds a whole group.
-    Without a group every query meets every vector, for a handful of queries.
+    Without a group every query meets every vector, in the same blocks.
     Zero vectors score 0; shorter ones count as padded with zeros; null vectors take no part.
     """
     if group is None:
-        few = queries.limit(QUERY_BLOCK).select("qid", "qvec")
-        scored = vectors.crossJoin(F.broadcast(few)).select("qid", key, F.round(cosine("embedding", "qvec"), 9).alias("score"))
-        return best(scored, k, ["qid"], [F.desc("score"), F.asc(key)])
+        one = F.lit(0).alias("_all")
+        return vector_search(queries.select("qid", "qvec", one), vectors.select(key, "embedding", one), k, "_all", key).drop("_all")
     q = queries.filter(F.col("qvec").isNotNull()).select("qid", group, F.col("qvec").cast("array<float>").alias("_v"))
     v = vectors.filter(F.col("embedding").isNotNull()).select(group, key, F.col("embedding").cast("array<float>").alias("_v"))
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")

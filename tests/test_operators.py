@@ -104,6 +104,16 @@ def test_like_is_ascii_folded_with_wildcards(spark):
     assert count("world") == 1 and count("привет") == 0 and count("h_llo") == 1 and count("5%") == 1 and count("") == 0
 
 
+def test_vector_search_without_group_answers_every_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rows = [(i, [1.0, i / 10]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "chunk_seq bigint, embedding array<float>")
+    asked = vectors.select(F.col("chunk_seq").alias("qid"), F.col("embedding").alias("qvec"))
+    got = {r["qid"]: r["chunk_seq"] for r in retrieval.vector_search(asked, vectors, 1, None).collect()}
+    assert got == {i: i for i in range(20)}
+
+
 def test_vector_search_equals_brute_force_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 40)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
