@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "uk")
@@ -216,27 +216,43 @@ class Bayes:
         return p / p.sum()
 
 
-def sample_documents(documents: DataFrame, per_language: int = SAMPLE) -> dict[str, list[list[str]]]:
-    """At most ``per_language`` labelled documents of each language, by id hash, as clean sentences."""
-    spelled = F.regexp_extract(F.lower(F.trim("lang")), r"^[^\W\d_]+", 0)
-    code = F.element_at(F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv]), spelled)
-    order = Window.partitionBy("code").orderBy("h", "doc_id")
-    rows = (
-        documents.filter(F.length("text") >= 80)
-        .select(code.alias("code"), F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-        .filter(F.col("code").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= per_language)
-        .select("code", "text")
-        .toArrow()
-    )
-    texts: dict[str, list[list[str]]] = {code: [] for code in LANGUAGES}
-    for code_, text in zip(rows["code"].to_pylist(), rows["text"].to_pylist(), strict=True):
-        found = [clean_sentence(text[a:b]) for a, b, whole in sentences(text) if whole]
-        texts[code_].extend(s for s in found if len(s) >= 3)
+def label_code(c: str = "lang") -> Column:
+    """The two-letter code of a language label in any known spelling, null for none."""
+    spelled = F.regexp_extract(F.lower(F.trim(c)), r"^[^\W\d_]+", 0)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv]), spelled)
+
+
+def sample_texts(documents: DataFrame, per_language: int = SAMPLE) -> dict[str, list[str]]:
+    """At most ``per_language`` texts of labelled documents of each language, those of smallest id hash.
+
+    The labels are counted first (a column of its own, a few rows); the scan then
+    keeps a text only if its hash is below its language's share, so some
+    two times the sample reaches the driver, whatever the size and the tasks.
+    """
+    labelled = documents.select(label_code().alias("code"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"), "doc_id", "text").filter(F.col("code").isNotNull())
+    counts = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}
+    if not counts:
+        return {code: [] for code in LANGUAGES}
+    below = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1 << 40, int(2 * per_language / n * (1 << 40))))])
+    rows = labelled.filter((F.col("h") < F.element_at(below, F.col("code"))) & (F.length("text") >= 80)).toArrow().to_pylist()
+    texts: dict[str, list[str]] = {code: [] for code in LANGUAGES}
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"] or 0, r["text"])):
+        if len(texts[r["code"]]) < per_language:
+            texts[r["code"]].append(r["text"])
     return texts
 
 
+def clean_texts(texts: dict[str, list[str]]) -> dict[str, list[list[str]]]:
+    """The whole sentences of the texts of each language, as clean words."""
+    found = {code: [clean_sentence(t[a:b]) for t in many for a, b, whole in sentences(t) if whole] for code, many in texts.items()}
+    return {code: [s for s in many if len(s) >= 3] for code, many in found.items()}
+
+
+def sample_documents(documents: DataFrame, per_language: int = SAMPLE) -> dict[str, list[list[str]]]:
+    """``sample_texts`` as clean sentences."""
+    return clean_texts(sample_texts(documents, per_language))
+
+
 def agreeing(texts: dict[str, list[list[str]]]) -> dict[str, list[list[str]]]:
     """The sentences whose label a first model confirms, so that wrong labels and mixed documents don't train."""
     first = Profiles(texts)
