@@ -38,6 +38,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|`[^`\n]*`")
 _MARK = re.compile(r"[“„«\"`]")
 _CODE = re.compile(r"[\d=_/\\<>{}]")
+_EITHER = re.compile(r"[“„«\"`\d=_/\\<>{}]")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*(?:\s+(?![a-zß-öø-ÿа-яєіїґ\d])|$)")
 _ITEM = re.compile(r"^\s*(?:[-*•–>]|\d{1,3}[.)])\s+")
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -97,9 +98,9 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
 
 def clean_sentence(text: str) -> list[str]:
     """Lower-case words that speak for a language: no quotations, no words with digits, no capitalised names inside."""
-    if _MARK.search(text):
-        text = _QUOTED.sub(" ", text)
-    if _CODE.search(text):
+    if _EITHER.search(text):
+        if _MARK.search(text):
+            text = _QUOTED.sub(" ", text)
         text = " ".join([t for t in text.split() if not _CODE.search(t)])
     words = _WORD.findall(text)
     small = [w for w in words if w.islower()]

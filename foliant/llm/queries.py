@@ -78,7 +78,7 @@ def p8_raked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return graded(p9_levels(spark, d))
+    return graded(reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"), mixed=False))
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Reading level of each document (problem 9).
 
 For each level of the labelled samples an interpolated n-gram model (character
-n-grams inside a word, word, word pair) gives every sentence a surprisal. The
-surprisals place each sentence on the scale of levels; the distribution over a
-document's sentences gives its score, and isotonic regression on held-out
-scores of the samples maps scores monotonically to grades.
+n-grams inside a word, word, word pair) gives every sentence a surprisal. How much
+less surprising each harder level is than the one below it has a distribution
+over a document's sentences; its mean and quantiles give the document's score, with
+weights fitted on held-out samples, and isotonic regression on held-out scores
+maps scores monotonically to grades.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ CHARACTER, WORD, PAIR = 0.3, 0.4, 0.3
 SHARED = 0.3
 #: Words of running English that a document must have.
 LEAST_WORDS = 30
-#: Largest number of labelled samples that train the models.
+#: Largest number of labelled samples that train the models, those of smallest hash.
 SAMPLES = 20_000
+#: Quantiles of a document's surprisal differences.
+QUANTILES = (0.2, 0.35, 0.5, 0.65, 0.8)
 
 _CODE_LINE = re.compile(
     r"\w\([^()\n]*\)\s*(?:[;#.{]|//|$)|^\s*[\w.\[\]]+\s*[:+\-]?=\s*\S|(?:^|\s)--?\w[\w-]*(?:[= ]|$)|[{};]\s*$|^\s*(?:for|if|while|def|class|import|from|return|elif|else)\b[^.!?]*[:({]\s*$|^\s*(?://|#!|\$ |>>> |\.\.\. )"
@@ -77,10 +79,15 @@ class LevelModel:
                             self.contexts[level][context[-k:] if k else ""] += 1
         self.total = [max(1, sum(c.values())) for c in self.words]
         self.alone: dict[str, np.ndarray] = {}
-        self.joined: dict[tuple[str, str], tuple[float, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of word pairs; it saves work only."""
+        self.joined: dict[tuple[str, str], int] = {}
+        self.table = np.empty((1024, len(LEVELS)))
 
     def __getstate__(self):
-        return self.__dict__ | {"alone": {}, "joined": {}}
+        return self.__dict__ | {"alone": {}, "joined": {}, "table": np.empty((1024, len(LEVELS)))}
 
     def _characters(self, word: str) -> Iterator[tuple[str, str]]:
         w = "^" * (self.order - 1) + word + "$"
@@ -109,30 +116,31 @@ class LevelModel:
             self.alone[word] = p
         return p
 
-    def _log(self, key: tuple[str, str]) -> tuple[float, ...]:
-        """Surprisal of a word after another, at each level."""
-        v = self.joined.get(key)
-        if v is None:
-            previous, word = key
-            pair = np.array([self.pairs[k][key] / self.firsts[k][previous] if self.firsts[k][previous] else 0.0 for k in range(len(LEVELS))])
-            own = self._word(word) + PAIR * pair
-            v = tuple((-np.log(np.maximum((1 - SHARED) * own + SHARED * own.mean(), 1e-40))).tolist())
-            if len(self.joined) > REMEMBERED:
-                self.joined.clear()
-            self.joined[key] = v
-        return v
-
-    def surprisals(self, words: list[str]) -> list[float]:
-        """Nats of a sentence under each level's model."""
-        log = self._log
-        return [sum(c) for c in zip(*[log(key) for key in zip(["", *words], words)], strict=True)] if words else [0.0] * len(LEVELS)
-
-    def place(self, words: list[str]) -> tuple[float, float]:
-        """(place on the scale of levels, least surprisal per word) of a sentence."""
-        v = self.surprisals(words)
-        least = min(v)
-        p = [exp(least - x) for x in v]
-        return sum(k * x for k, x in enumerate(p)) / sum(p), least / max(len(words), 1)
+    def _add(self, key: tuple[str, str]) -> int:
+        """Row of the table with the surprisal of a word after another, at each level."""
+        previous, word = key
+        pair = np.array([self.pairs[k][key] / self.firsts[k][previous] if self.firsts[k][previous] else 0.0 for k in range(len(LEVELS))])
+        own = self._word(word) + PAIR * pair
+        row = self.joined[key] = len(self.joined)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[row] = -np.log(np.maximum((1 - SHARED) * own + SHARED * own.mean(), 1e-40))
+        return row
+
+    def surprisals(self, many: list[list[str]]) -> np.ndarray:
+        """Nats of each sentence (not empty) under each level's model."""
+        if len(self.joined) > REMEMBERED:
+            self.forget()
+        rows: list[int] = []
+        get, take = self.joined.get, rows.append
+        for words in many:
+            previous = ""
+            for w in words:
+                row = get((previous, w))
+                take(self._add((previous, w)) if row is None else row)
+                previous = w
+        starts = np.cumsum([0, *map(len, many)])[:-1]
+        return np.add.reduceat(self.table[rows], starts, axis=0) if many else np.empty((0, len(LEVELS)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +160,44 @@ def sentence_words(text: str) -> list[list[str]]:
     return [w for a, b, whole in sentences(text) if whole and len(w := clean_sentence(text[a:b])) >= 2]
 
 
-def score(places: list[tuple[float, float, int]]) -> tuple[float, float, float]:
-    """(mean place, mean surprisal, 90 % surprisal) of a document's sentences, each counted by the root of its words."""
-    weight = [sqrt(n) for _, _, n in places]
-    p = sum(w * x[0] for w, x in zip(weight, places, strict=True)) / sum(weight)
-    mean = sum(s * n for _, s, n in places) / sum(n for _, _, n in places)
-    return p, mean, sorted(s for _, s, _ in places)[(len(places) * 9 - 1) // 10]
+def distributions(nats: np.ndarray, words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Mean and QUANTILES of each document's surprisal differences between neighbouring levels.
+
+    nats: surprisals of sentences; words: their lengths; owner: the number of each one's document
+    (ascending, each of the n has one). A difference is taken on the logistic scale, so one odd
+    sentence can't outweigh the others; a sentence counts by the root of its words.
+    """
+    weight = np.sqrt(words)
+    total = np.bincount(owner, weight, n)
+    first = np.searchsorted(owner, np.arange(n))
+    last = np.r_[first[1:], len(owner)] - 1
+    out = []
+    for k in range(len(LEVELS) - 1):
+        d = 1 / (1 + np.exp(-np.clip(nats[:, k] - nats[:, k + 1], -50, 50)))
+        out.append(np.bincount(owner, weight * d, n) / total)
+        order = np.lexsort((d, owner))
+        w = weight[order]
+        below = np.cumsum(w) - w / 2
+        place = (below - (np.cumsum(total) - total)[owner]) / total[owner]
+        for q in QUANTILES:
+            at = np.clip(q, place[first], place[last])
+            out.append(np.interp(np.arange(n) * 2 + at, owner * 2 + place, d[order]))
+    return np.stack(out, axis=1)
+
+
+def nonnegative_fit(x: np.ndarray, y: np.ndarray, ridge: float = 5.0, rounds: int = 2000) -> tuple[np.ndarray, float]:
+    """(weights >= 0, offset) of the least squares of y on x, by coordinate descent; more surprise at the easier level never lowers the score."""
+    mean, level = x.mean(axis=0), y.mean()
+    g = (x - mean).T @ (x - mean) + ridge * np.eye(x.shape[1])
+    c = (x - mean).T @ (y - level)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            w[j] = max(0.0, w[j] - (g[j] @ w - c[j]) / g[j, j])
+        if np.abs(w - before).max() < 1e-10:
+            break
+    return w, float(level - mean @ w)
 
 
 def sorted_out(samples: list[tuple[list[list[str]], int]], rounds: int = 3, own: float = 0.4) -> LevelModel:
@@ -169,28 +209,55 @@ def sorted_out(samples: list[tuple[list[list[str]], int]], rounds: int = 3, own:
     """
     prior = {k: -np.log(np.where(np.arange(len(LEVELS)) == k, own, (1 - own) / (len(LEVELS) - 1))) for k in range(len(LEVELS))}
     model = LevelModel(samples)
+    every = [(s, level) for many, level in samples for s in many]
+    beforehand = np.array([prior[level] for _, level in every])
     for _ in range(rounds):
-        model = LevelModel([([s], int((np.array(model.surprisals(s)) + prior[level]).argmin())) for many, level in samples for s in many])
+        levels = (model.surprisals([s for s, _ in every]) + beforehand).argmin(axis=1)
+        model = LevelModel([([s], int(k)) for (s, _), k in zip(every, levels, strict=True)])
     return model
 
 
 class Reader:
-    """Level models and the isotonic map, fitted on labelled samples with held-out scores."""
+    """Level models, the score's weights and the isotonic map, fitted on labelled samples with held-out surprisals."""
 
     def __init__(self, samples: list[tuple[str, str]], folds: int = 5) -> None:
         usable = [(s, LEVELS.index(level)) for text, level in samples if level in LEVELS and (s := sentence_words(text or ""))]
         if not usable:
             raise ValueError("no labelled sample of a known level")
-        held: list[tuple[float, int]] = []
+        x = np.zeros((len(usable), (len(LEVELS) - 1) * (1 + len(QUANTILES))))
+        y = np.array([level for _, level in usable], float)
+        fold = np.arange(len(usable)) % folds
         for f in range(min(folds, len(usable))):
-            model = sorted_out([u for i, u in enumerate(usable) if i % folds != f] or usable)
-            held += [(score([(*model.place(s), len(s)) for s in many])[0], level) for i, (many, level) in enumerate(usable) if i % folds == f]
-        self.knots = isotonic(np.array([h[0] for h in held]), np.array([h[1] for h in held], float))
-        self.accuracy = float(np.mean([round(self.grade(x)) == y for x, y in held]))
+            model = sorted_out([u for u, k in zip(usable, fold, strict=True) if k != f] or usable)
+            x[fold == f] = self.features(model, [many for (many, _), k in zip(usable, fold, strict=True) if k == f])[0]
+        self._fit(x, y)
+        said = []
+        for f in set(fold.tolist()):
+            if (fold != f).any():
+                self._fit(x[fold != f], y[fold != f])
+            said += [(LEVELS[int(b)], self.level(g)) for b, g in zip(y[fold == f], self.grade(self.score(x[fold == f])), strict=True)]
+        #: Share of samples that come out right when neither models nor map have seen them.
+        self.accuracy = float(np.mean([a == b for a, b in said]))
+        self._fit(x, y)
         self.model = sorted_out(usable)
 
-    def grade(self, x: float) -> float:
-        return float(np.interp(x, *self.knots))
+    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.weights, self.offset = nonnegative_fit(x, y)
+        self.knots = isotonic(self.score(x), y)
+
+    @staticmethod
+    def features(model: LevelModel, many: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distributions of each document, least surprisal per word and document number of each sentence); no document is empty."""
+        flat = [s for doc in many for s in doc]
+        owner = np.repeat(np.arange(len(many)), [len(doc) for doc in many])
+        nats, words = model.surprisals(flat), np.array([len(s) for s in flat], float)
+        return distributions(nats, words, owner, len(many)), nats.min(axis=1) / words, owner
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights + self.offset
+
+    def grade(self, score: np.ndarray) -> np.ndarray:
+        return np.interp(score, *self.knots)
 
     def level(self, grade: float) -> str:
         return LEVELS[min(max(int(grade + 0.5), 0), len(LEVELS) - 1)]
@@ -200,52 +267,56 @@ RESULT = "doc_id bigint, reading_level string, grade double, score double, surpr
 _NONE = (None,) * 5
 
 
-def read_documents(texts: list[str], languages: Profiles, reader: Reader) -> list[tuple]:
+def read_documents(texts: list[str], languages: Profiles, reader: Reader, mixed: bool = True) -> list[tuple]:
     """(level, grade, score, mean and 90 % surprisal, English words, whether a sentence is in another language) of each text.
 
-    A text is read until its first sentence in another language, which leaves it without a level.
+    Sentences in other languages make no level and no words. With ``mixed`` off a text
+    is read until its first such sentence, which leaves it without a level.
     """
     english = LANGUAGES.index("en")
     clear = [running_text(t) for t in texts]
     parts = [sentences(t) for t in clear]
-    words: list[list[list[str]]] = [[] for _ in texts]
+    kept: list[list[list[str]]] = [[] for _ in texts]
+    running = [0] * len(texts)
     foreign = [False] * len(texts)
-    for first, last in ((0, 2), (2, None)):
-        open_ = [i for i, f in enumerate(foreign) if not f]
-        for i in open_:
-            words[i] += [clean_sentence(clear[i][a:b]) for a, b, _ in parts[i][first:last]]
-        said = iter(languages.decide([w for i in open_ for w in words[i][first:last]]))
-        for i in open_:
-            for (_, _, whole), w in zip(parts[i][first:last], words[i][first:last], strict=True):
+    for first, last in ((0, None),) if mixed else ((0, 2), (2, None)):
+        open_ = [i for i, f in enumerate(foreign) if mixed or not f]
+        words = [[clean_sentence(clear[i][a:b]) for a, b, _ in parts[i][first:last]] for i in open_]
+        said = iter(languages.decide([w for many in words for w in many]))
+        for i, many in zip(open_, words, strict=True):
+            t = clear[i]
+            for (a, b, whole), w in zip(parts[i][first:last], many, strict=True):
                 k, _sure = trusted(w, *next(said))
-                foreign[i] |= whole and k >= 0 and k != english
-    out = []
-    for t, p, many, other in zip(clear, parts, words, foreign, strict=True):
-        running, places = 0, []
-        for (a, b, whole), w in zip(p, many, strict=False):
-            if whole and len(w) >= 2 and not other:
-                running += len(t[a:b].split())
-                places.append((*reader.model.place(w), len(w)))
-        if places:
-            x, mean, high = score(places)
-            g = reader.grade(x)
-            out.append((reader.level(g), g, x, mean, high, running, other))
-        else:
-            out.append((*_NONE, running, other))
+                if whole and k >= 0 and k != english:
+                    foreign[i] = True
+                elif whole and len(w) >= 2:
+                    running[i] += len(t[a:b].split())
+                    kept[i].append(w)
+    there = [i for i, many in enumerate(kept) if many and (mixed or not foreign[i])]
+    out: list[tuple] = [(*_NONE, n, f) for n, f in zip(running, foreign, strict=True)]
+    if there:
+        x, least, owner = reader.features(reader.model, [kept[i] for i in there])
+        size = np.array([len(w) for i in there for w in kept[i]], float)
+        mean = np.bincount(owner, least * size) / np.bincount(owner, size)
+        high = np.array([np.quantile(part, 0.9) for part in np.split(least, np.flatnonzero(np.diff(owner)) + 1)]) if mixed else mean
+        score = reader.score(x)
+        for i, g, s, m, h in zip(there, reader.grade(score).tolist(), score.tolist(), mean.tolist(), high.tolist(), strict=True):
+            out[i] = (reader.level(g), g, s, m, h if mixed else None, running[i], foreign[i])
     return out
 
 
-def reading_levels(documents: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row per document: level, grade, surprisals, running English words, whether it has other languages.
+def reading_levels(documents: DataFrame, samples: DataFrame, mixed: bool = True) -> DataFrame:
+    """One row per document: level, grade, score, surprisals, running English words, whether it has other languages.
 
     A narrow Arrow map; the models (a few MB, bounded by SAMPLES and the
-    language profiles) go with the task.
+    language profiles) go with the task. ``mixed`` off spares the rest of a text after its
+    first sentence in another language: its level, scores and words are then not known.
 
-    * null, empty, blank text, text without an English sentence or with one in another language: level and scores null.
+    * null, empty, blank text, text without an English sentence: level and scores null, 0 words.
     * null doc_id: kept. Repeated rows: one row each. Very long texts are read whole.
     * empty documents: no rows. No usable sample: an error, for there is no scale. Extra columns are not read.
     """
-    rows = samples.select(F.col("text"), F.lower(F.trim("reading_level")).alias("level")).limit(SAMPLES).toArrow()
+    rows = samples.select(F.col("text"), F.lower(F.trim("reading_level")).alias("level")).orderBy(F.xxhash64("text", "level"), "text", "level").limit(SAMPLES).toArrow()
     reader = Reader(list(zip(rows["text"].to_pylist(), rows["level"].to_pylist(), strict=True)))
     languages = fit_profiles(documents)
     names = [f.split()[0] for f in RESULT.split(", ")]
@@ -255,7 +326,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = read_documents([t or "" for t in part.column(1).to_pylist()], languages, reader)
+                found = read_documents([t or "" for t in part.column(1).to_pylist()], languages, reader, mixed)
                 columns = list(zip(*found, strict=True)) if found else [[] for _ in names[1:]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds[1:], strict=True)]], names)
 
