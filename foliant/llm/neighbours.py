@@ -30,21 +30,29 @@ from foliant.session import spread
 class Index:
     """Parameters; the defaults are those of production.
 
-    ``sample_rows`` bounds the rows on which the centres are fitted, ``max_lists``
-    the centres, and with them what is sent to every task (at most
-    max_lists x dim x 4 bytes, 1 MB here). ``margin`` says how much worse than
-    the nearest a centre may be for a list to be visited too. A list meets its
-    visitors ``visitors`` at a time, so a dense region is never gathered.
+    Lists grow in number with the rows, one for each ``list_rows``, up to ``max_lists``; the
+    centres are fitted on at most ``sample_rows`` rows and go to every task (at most
+    max_lists x dim x 4 bytes, 16 MB here). Up to ``flat_lists`` a vector meets every centre,
+    beyond that those of the nearest ``probes`` groups of centres. ``margin`` says how much worse
+    than the nearest a centre may be for its list to be visited too; every list within it is.
+    A list of more than ``block`` rows is split into blocks, each a task of its own, and
+    meets its visitors ``visitors`` at a time, so a dense region is never gathered.
+
+    Exact, at the price of all comparisons: ``Index(margin=4, epsilon=1e9)`` visits every list
+    and reranks every pair (as long as there are no more than ``flat_lists`` lists).
     """
 
     dim: int = 64
     k: int = 5
     min_similarity: float = 0.9
     list_rows: int = 320
-    max_lists: int = 4096
+    max_lists: int = 65536
     sample_rows: int = 65536
     iterations: int = 4
-    margin: float = 0.04
+    flat_lists: int = 4096
+    probes: int = 24
+    margin: float = 0.025
+    block: int = 65536
     visitors: int = 32768
     epsilon: float = 2.5
     seed: int = 42
@@ -70,26 +78,90 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit_centres(vectors: DataFrame, p: Index) -> np.ndarray:
-    """Spherical k-means on a bounded sample by id hash; centres start at sampled points, so dense regions get more."""
-    rows = vectors.count()
+class Centres:
+    """Centres of the lists, grouped around coarser ones where they are many, and into how many blocks each list is split."""
+
+    def __init__(self, centres: np.ndarray, p: Index, blocks: np.ndarray | None = None) -> None:
+        self.centres, self.margin, self.probes = centres, p.margin, p.probes
+        self.blocks = np.ones(len(centres), np.int64) if blocks is None else blocks
+        self.groups: list[np.ndarray] = []
+        if len(centres) > p.flat_lists:
+            rng = np.random.default_rng(p.seed)
+            self.coarse = refined(centres, centres[rng.choice(len(centres), int(len(centres) ** 0.5), replace=False)], p.iterations)
+            member = nearest(centres, self.coarse)
+            self.groups = [np.flatnonzero(member == g) for g in range(len(self.coarse))]
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list) of every list that a vector visits, and the list at which each vector is at home."""
+        if not self.groups:
+            near = x @ self.centres.T
+            rows, lists = np.nonzero(near >= near.max(axis=1, keepdims=True) - self.margin)
+            return rows, lists, near.argmax(axis=1)
+        far = x @ self.coarse.T
+        probes = min(self.probes, far.shape[1])
+        asked = np.argpartition(-far, probes - 1, axis=1)[:, :probes]
+        order = np.argsort(asked, axis=None, kind="stable")
+        group, owner = asked.reshape(-1)[order], order // probes
+        best, home = np.full(len(x), -2.0, np.float32), np.zeros(len(x), np.int64)
+        found = []
+        for g, rows in zip(*_split(group, owner), strict=True):
+            members = self.groups[g]
+            if not len(members):
+                continue
+            near = x[rows] @ self.centres[members].T
+            top = near.argmax(axis=1)
+            most = near[np.arange(len(rows)), top]
+            better = most > best[rows]
+            best[rows[better]], home[rows[better]] = most[better], members[top[better]]
+            i, j = np.nonzero(near >= most[:, None] - self.margin)
+            found.append((rows[i], members[j], near[i, j]))
+        rows, lists, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = near >= best[rows] - self.margin
+        order = np.lexsort((lists[keep], rows[keep]))
+        return rows[keep][order], lists[keep][order], home
+
+
+def _split(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of a sorted key, and the values of each."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    return key[start], np.split(values, start[1:]) if len(key) else []
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(x), 4096)])
+
+
+def refined(x: np.ndarray, centres: np.ndarray, iterations: int) -> np.ndarray:
+    """Spherical k-means from the given centres."""
+    centres = centres.copy()
+    for _ in range(iterations):
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest(x, centres), x)
+        norms = np.linalg.norm(sums, axis=1)
+        centres[norms > 1e-6] = sums[norms > 1e-6] / norms[norms > 1e-6, None]
+    return centres
+
+
+def fit_centres(vectors: DataFrame, rows: int, p: Index) -> Centres:
+    """Centres from a bounded sample by id hash; they start at sampled points, so dense regions get more.
+
+    More than ``flat_lists`` centres stay the points they start at. ``rows``: about how many vectors there are.
+    """
     share = 1.0 if rows <= p.sample_rows else 0.95 * p.sample_rows / rows  # below the limit, so that it cuts nothing
-    picked = vectors.filter(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    taken = picked.select("v").limit(p.sample_rows).toArrow().column(0).combine_chunks()
-    sample = np.asarray(taken.flatten(), np.float32).reshape(-1, p.dim)
+    picked = vectors.filter(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+    taken = picked.select("id", "v").limit(p.sample_rows).toArrow().sort_by("id")
+    sample = np.asarray(taken.column("v").combine_chunks().flatten(), np.float32).reshape(-1, p.dim)
     if not len(sample):
-        return np.zeros((1, p.dim), np.float32)
+        return Centres(np.zeros((1, p.dim), np.float32), p)
     sample = _unit(sample)
     rng = np.random.default_rng(p.seed)
     lists = int(np.clip(rows // p.list_rows, 1, min(p.max_lists, len(sample))))
     centres = sample[rng.choice(len(sample), lists, replace=False)].copy()
-    for _ in range(p.iterations):
-        home = np.concatenate([np.argmax(sample[i : i + 8192] @ centres.T, axis=1) for i in range(0, len(sample), 8192)])
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, sample)
-        norms = np.linalg.norm(sums, axis=1)
-        centres[norms > 1e-6] = sums[norms > 1e-6] / norms[norms > 1e-6, None]
-    return centres
+    if lists > p.flat_lists:
+        return Centres(centres, p, np.full(lists, -(-rows // (lists * p.block))))
+    centres = refined(sample, centres, p.iterations)
+    expected = np.bincount(nearest(sample, centres), minlength=lists) * (rows / len(sample))
+    return Centres(centres, p, np.maximum(1, np.ceil(expected / p.block)).astype(np.int64))
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -202,42 +274,48 @@ def list_edges(
     return i[top], to[top], sim[top]
 
 
-def _assign(centres: np.ndarray, p: Index):
+def _assign(centres: Centres, p: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rowid, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, p.dim)
-            # Copies inside the batch become one row with their smallest ids.
-            order = np.lexsort((rowid, k2, k1))
-            new = np.r_[True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]
-            start = np.flatnonzero(new)
-            ids = [np.unique(g)[: p.k + 1] for g in np.split(rowid[order], start[1:])]
-            first = order[start]
-            x, k1, k2 = _unit(x[first]), k1[first], k2[first]
-            near = x @ centres.T
-            best = near.argmax(axis=1)
-            rows, tos = np.nonzero(near >= near.max(axis=1, keepdims=True) - p.margin)
-            raw = np.ascontiguousarray(x)
-            for a in range(0, len(rows), p.visitors):
-                row, to = rows[a : a + p.visitors], tos[a : a + p.visitors]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(to.astype(np.int32)),
-                        pa.array(best[row] == to),
-                        pa.array(k1[row]),
-                        pa.array(k2[row]),
-                        pa.array([ids[r] for r in row], pa.list_(pa.int64())),
-                        pa.array([raw[r].tobytes() for r in row], pa.binary()),
-                    ],
-                    ["list", "home", "k1", "k2", "ids", "x"],
-                )
+            for at in range(0, batch.num_rows, 4096):
+                yield from part(batch.slice(at, 4096))
+
+    def part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rowid, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
+        x = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, p.dim)
+        # Copies inside the batch become one row with their smallest ids.
+        order = np.lexsort((rowid, k2, k1))
+        new = np.r_[True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]
+        start = np.flatnonzero(new)
+        ids = [np.unique(g)[: p.k + 1] for g in np.split(rowid[order], start[1:])]
+        first = order[start]
+        x, k1, k2 = _unit(x[first]), k1[first], k2[first]
+        rows, lists, home = centres.visits(x)
+        # A list that is split has its rows in blocks by their hash; each block is visited, also by the list's other rows.
+        blocks = centres.blocks[lists]
+        rows, lists = np.repeat(rows, blocks), np.repeat(lists, blocks)
+        block = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at_home = (home[rows] == lists) & (block == k1[rows] % centres.blocks[lists])
+        number = lists.astype(np.int64) * (1 << 24) + block
+        raw = np.ascontiguousarray(x)
+        for a in range(0, len(rows), p.visitors):
+            row = rows[a : a + p.visitors]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(number[a : a + p.visitors]),
+                    pa.array(at_home[a : a + p.visitors]),
+                    pa.array(k1[row]),
+                    pa.array(k2[row]),
+                    pa.array([ids[r] for r in row], pa.list_(pa.int64())),
+                    pa.array([raw[r].tobytes() for r in row], pa.binary()),
+                ],
+                ["list", "home", "k1", "k2", "ids", "x"],
+            )
 
     return run
 
 
-def _search(centres: np.ndarray, p: Index):
+def _search(centres: Centres, p: Index):
     turn = rotation(p.dim, p.seed)
 
     def entries(parts: list[pa.Table]) -> tuple:
@@ -256,7 +334,7 @@ def _search(centres: np.ndarray, p: Index):
 
     def edges(number: int, e: tuple, since: int) -> pa.RecordBatch:
         k1, k2, ids, home, x = e
-        i, to, sim = list_edges(x, ids, home, centres[number], turn, p, since=since)
+        i, to, sim = list_edges(x, ids, home, centres.centres[number >> 24], turn, p, since=since)
         return pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(to.astype(np.int64)), pa.array(sim)], ["k1", "k2", "to", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +376,8 @@ def _search(centres: np.ndarray, p: Index):
 def similar_pairs(df: DataFrame, id_col: str = "chunk_rowid", vec_col: str = "embedding", params: Index | None = None) -> DataFrame:
     """(rowid_a, rowid_b), a < b: rows of at least ``min_similarity`` of which one is among the other's k most similar.
 
-    Approximate: recall is measured in the tests and given in the README;
-    every returned pair is exact. Ties go to the smaller row id.
+    Approximate: recall is measured in the tests and given in the README. The similarity of every
+    returned pair is exact; where a nearer neighbour was missed, the next one takes its place. Ties go to the smaller row id.
 
     * null, all-zero, non-finite vectors, vectors of another size and rows without id have no neighbours.
     * a row delivered twice is one vector; equal vectors are each other's most similar, in order of id.
@@ -307,11 +385,14 @@ def similar_pairs(df: DataFrame, id_col: str = "chunk_rowid", vec_col: str = "em
     """
     p = params or Index()
     vectors = valid_vectors(df, id_col, vec_col, p.dim)
-    centres = fit_centres(vectors, p)
+    rows = df.count()  # from the files' metadata; invalid and repeated rows don't matter for sizes
+    centres = fit_centres(vectors, rows, p)
     routed = vectors.select("id", "v", "k1", "k2").mapInArrow(
-        _assign(centres, p), "list int, home boolean, k1 bigint, k2 bigint, ids array<bigint>, x binary"
+        _assign(centres, p), "list bigint, home boolean, k1 bigint, k2 bigint, ids array<bigint>, x binary"
     )
-    edges = spread(routed, "list").sortWithinPartitions("list", F.desc("home")).mapInArrow(_search(centres, p), "k1 bigint, k2 bigint, to bigint, sim double")
+    # A vector visits some three lists, with its ids and keys beside it.
+    lists = spread(routed, "list", rows * 3 * (4 * p.dim + 80))
+    edges = lists.sortWithinPartitions("list", F.desc("home")).mapInArrow(_search(centres, p), "k1 bigint, k2 bigint, to bigint, sim double")
     # One shuffle by vector serves both aggregations; a vector has at most k + 2 edges from each list it visits, and from each block of its own list's visitors.
     best = (
         edges.repartition("k1", "k2")

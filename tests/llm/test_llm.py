@@ -96,8 +96,8 @@ def test_similar_pairs_against_brute_force(spark):
 def test_dense_region_visits_every_list_within_the_margin():
     rng = np.random.default_rng(8)
     x = neighbours._unit(rng.normal(size=64) + 0.22 * rng.normal(size=(3000, 64)))
-    centres = x[:60]
     p = neighbours.Index(visitors=500)
+    centres = neighbours.Centres(x[:60], p, np.where(np.arange(60) % 7, 1, 3))  # some lists are split
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float32())), pa.array(np.arange(3000)), pa.array(np.zeros(3000, np.int64))], ["id", "v", "k1", "k2"])
     routed = pa.Table.from_batches(neighbours._assign(centres, p)([rows])).sort_by([("list", "ascending"), ("home", "descending")])
     best: dict = {}
@@ -111,6 +111,26 @@ def test_dense_region_visits_every_list_within_the_margin():
     assert len(want) > 10_000 and len(want & got) >= 0.98 * len(want)
 
 
+def test_exact_setting_finds_every_pair(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=8)
+    rows = [(i, [float(x) for x in np.float32(centre + 0.4 * rng.normal(size=8))]) for i in range(500)]
+    df = spark.createDataFrame(rows, "chunk_rowid bigint, embedding array<float>")
+    exact = neighbours.Index(dim=8, list_rows=20, block=10, margin=4, epsilon=1e9)
+    assert {tuple(r) for r in neighbours.similar_pairs(df, params=exact).collect()} == brute(rows, 5, 0.9)
+
+
+def test_many_centres_are_searched_by_groups():
+    rng = np.random.default_rng(9)
+    x = neighbours._unit(rng.normal(size=(4000, 16)))
+    flat = neighbours.Centres(x[:900], neighbours.Index(dim=16, flat_lists=1000))
+    rows, lists, home = flat.visits(x)
+    few, all_ = (neighbours.Centres(x[:900], neighbours.Index(dim=16, flat_lists=100, probes=n)) for n in (10, 10**6))
+    r, w, h = all_.visits(x)
+    assert (h == home).all() and set(zip(r, w, strict=True)) == set(zip(rows, lists, strict=True))
+    assert (few.visits(x)[2] == home).mean() > 0.85
+
+
 def test_estimates_keep_to_their_bounds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 64)).astype(np.float32)
@@ -261,15 +281,14 @@ def test_language_accuracy_on_held_out_documents(spark):
 # --- 1: pairs
 
 
+REFUSING = ["I'm sorry, but I can't help with that request.", "I am unable to answer this.", "Leider kann ich hierzu keine Auskunft geben.", "Das möchte ich nicht beantworten.", "Я предпочту не отвечать на это.", "Я не могу помочь с этим вопросом."]
+
+
 @pytest.fixture(scope="module")
 def judge(texts):
-    ends = pairs.Ends(np.zeros(pairs.BUCKETS), np.zeros(pairs.BUCKETS))
-    for t in ENGLISH * 50:
-        for gram, end in pairs.end_events(t):
-            ends.seen[pairs._bucket(gram)] += 1
-            ends.ended[pairs._bucket(gram)] += end
     model = language.Bayes(texts)
-    return lambda q, a: pairs.defect_of(q, a, model, ends)
+    refusals = pairs.Refusals([*[*ENGLISH, *GERMAN, *RUSSIAN, "Run this."] * 40, *REFUSING * 3], [*ENGLISH, *GERMAN, *RUSSIAN, "Ask me for help if you cannot open the valve."])
+    return lambda q, a: pairs.defect_of(q, a, model, refusals)
 
 
 @pytest.mark.parametrize(
@@ -282,7 +301,7 @@ def judge(texts):
         ("Where is the pump?", "I'm sorry, but I can't help with that request.", "refusal"), ("Wo ist die Pumpe?", "Leider kann ich hierzu keine Auskunft geben.", "refusal"), ("Где насос?", "Я предпочту не отвечать на это.", "refusal"),
         ("Where is the pump?", "The technician declined the delivery because the pump was wet.", None), ("Where is the pump?", "I can't open the book from here, but the pump is behind the door.", None),
         ("When do we clean the filter and close the valve?", GERMAN[1], "wrong_language"), ("Answer in German, please: when do we clean the filter?", GERMAN[1], None), ("When do we clean the filter and close the valve?", "The sign says “Bitte schließen Sie das Ventil” in white.", None),
-        ("Where is the pump?", "The small pump is behind the gre", "truncated"), ("Where is the pump?", "We clean the filter before the,", "truncated"), ("Where is the pump?", "Run this.\n```\nstart --now", "truncated"),
+        ("Where is the pump?", "Ask me for help if you cannot open the valve.", None), ("Where is the pump?", "Unfortunately I am unable to help with this.", "refusal"), ("Where is the pump?", "The small pump is behind the gre", None),
         ("Where is the pump?", "Run this.\n```\nstart --now\n```", None), ("Where is the pump?", "- It is behind the green door\n- We wait until the shift begins", None),
         (None, "The small pump is behind the green door.", None), ("", "It is red.", None),
     ],
@@ -291,6 +310,32 @@ def test_defects(judge, prompt, response, defect):
     assert judge(prompt, response) == defect
 
 
+def told(chat, documents):
+    return {tuple(r) for r in pairs.broken_pairs(chat, documents).collect()}
+
+
+def test_likelihood_and_marks_decide_truncation(spark, documents):
+    rng = random.Random(7)
+    things, states = ["pump", "valve", "lamp", "door", "filter", "cover", "tank"], ["green", "closed", "red", "dry", "small"]
+    say = lambda: f"We check the {rng.choice(things)} of the {rng.choice(things)} because it is {rng.choice(states)}"
+    rows = [say() + "." for _ in range(300)] + [f"- {say()}\n- {say()}" for _ in range(60)] + [str(rng.randrange(900)) for _ in range(40)] + [say() + ".\n```\nstart\n```" for _ in range(20)]
+    broken = {"cut": "We check the door of the", "piece": "We check the door of the pu", "comma": "We check the valve of the tank because,", "dots": "We check the lamp of the...", "item": f"- {say()}\n- We check the", "fence": say() + ".\n```\nstart"}
+    whole = {"number": "77", "last": "- " + say(), "stop": "It is dry. " + say() + ".", "tail": say() + "! "}
+    named = [*((f"r{i}", t) for i, t in enumerate(rows)), *broken.items(), *whole.items()]
+    both = [x for i, (key, t) in enumerate(named) for x in ((f"q{i}", "n", "user", None, 2 * i), (key, "n", "assistant", t, 2 * i + 1))]
+    chat = spark.createDataFrame(both, "id string, notebook_id string, role string, content string, seq bigint")
+    assert told(chat, documents) == {(k, "truncated") for k in broken}
+
+
+def test_what_marks_say_is_learned():
+    ends, cuts = {28: 90.0, 20: 10.0}, {4: 80.0, 10: 20.0}
+    seen = {("stop", 28): 900.0, ("bare", 28): 400.0, ("bare", 4): 10.0}
+    p = pairs.fit_marks(seen, ends, cuts)
+    assert p["stop", 28] < 0.01 and p["bare", 28] < 0.01 and p["bare", 4] > 0.5  # here most answers have no stop
+    p = pairs.fit_marks({("stop", 28): 900.0, ("bare", 28): 1.0, ("bare", 4): 60.0}, ends, cuts)
+    assert p["bare", 4] > 0.99
+
+
 def test_pairs_follow_seq_not_clocks(spark, documents):
     rows = [("u1", "n", " User", "Where is it?", 1), ("a1", "n", "ASSISTANT", "", 2), ("a1", "n", "ASSISTANT", "", 2), ("a2", "n", "assistant", None, 3), ("u2", "n", "user", "Where?", 4), ("u3", "m", "user", "x", 5), ("a3", "n", "assistant", None, 6), (None, "n", "assistant", "", 7), ("u4", None, "user", "x", 8), ("a4", None, "assistant", "", 9)]
     chat = spark.createDataFrame([(*r, "c") for r in rows], "id string, notebook_id string, role string, content string, seq bigint, prompt string")
@@ -419,6 +464,23 @@ def test_mixture_shares_caps_and_edges(spark):
 # --- 9: reading levels
 
 
+def test_distributions_and_their_fit():
+    rng = np.random.default_rng(1)
+    nats, words, owner = rng.normal(size=(40, 3)) * 4, rng.integers(3, 9, 40).astype(float), np.sort(rng.integers(0, 5, 40))
+    got = reading.distributions(nats, words, owner, 5)
+    for d in range(5):
+        w = np.sqrt(words[owner == d])
+        for k in (0, 1):
+            v = 1 / (1 + np.exp(nats[owner == d, k + 1] - nats[owner == d, k]))
+            order = np.argsort(v)
+            place = (np.cumsum(w[order]) - w[order] / 2) / w.sum()
+            want = [(w * v).sum() / w.sum(), *np.interp(reading.QUANTILES, place, v[order])]
+            assert got[d, k * 6 : k * 6 + 6] == pytest.approx(want)
+    x = rng.normal(size=(200, 3))
+    w, b = reading.nonnegative_fit(x, x @ np.array([2.0, 0, -1]) + 3, ridge=1e-9)
+    assert w[0] == pytest.approx(2, abs=0.2) and (w >= 0).all() and w[2] == 0 and b == pytest.approx(3, abs=0.3)
+
+
 def test_isotonic_fit_is_monotone_and_pools():
     x, y = reading.isotonic(np.array([3.0, 1, 2, 4]), np.array([1.0, 0, 2, 3]))
     assert (np.diff(y) >= 0).all() and np.interp(2.5, x, y) == pytest.approx(1.5) and np.interp(-9, x, y) == 0
@@ -433,6 +495,8 @@ def test_reading_levels(spark):
     docs = spark.createDataFrame([(1, rows[0][0], "en"), (2, None, None), (3, "", None), (4, GERMAN[0], "de"), (5, rows[0][0] + " " + " ".join(GERMAN), "en"), (6, "Keep it dry.", "en"), (7, "a=1; b=2; c=3", "en"), (8, " ".join(ENGLISH * 3), "en"), (9, " ".join(GERMAN * 3), "de")], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r for r in reading.reading_levels(docs, samples).collect()}
     assert len(got) == 9 and got[2]["reading_level"] is None and got[5]["other_language"] and got[7]["reading_level"] is None
+    # A mixed document has the level and the words of its English part; a foreign one has none.
+    assert got[5]["reading_level"] == rows[0][1] and got[5]["words"] == got[1]["words"] > 30 and got[9]["words"] == 0
     kept = {r["doc_id"]: r["reading_level"] for r in reading.graded(reading.reading_levels(docs, samples)).collect()}
     assert kept[1] == rows[0][1] and 5 not in kept and 6 not in kept and 9 not in kept
     assert reading.reading_levels(docs.limit(0), samples).count() == 0
