@@ -14,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where the cluster names none."""
+    """The shared folder of ``spark.checkpoint.dir``; a private one only on a local master, where there is no other machine.
+
+    A cluster that names no folder is an error: a machine's own one would be lost with it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = context.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or "file://" + os.path.join(tempfile.gettempdir(), f"foliant-{os.getuid()}-checkpoints")
     context.setCheckpointDir(folder)
     return folder
@@ -36,8 +42,12 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Partitions for CPU-heavy steps: a few per slot, never fewer than the scan already has."""
+#: Bytes that a task of a CPU-heavy step reads.
+TASK_BYTES = 10 << 20
+
+
+def spread(df: DataFrame, by: str | None = None, size: int = 0) -> DataFrame:
+    """Partitions for CPU-heavy steps: one for each TASK_BYTES of about ``size`` bytes, and no fewer than the session's and its slots."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(shuffle, slots(df.sparkSession))
+    n = max(shuffle, slots(df.sparkSession), -(-size // TASK_BYTES))
     return df.repartition(n, by) if by else df.repartition(n)
