@@ -37,7 +37,7 @@ _SPLIT = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|`[^`\n]*`")
 _MARK = re.compile(r"[“„«\"`]")
-_CODE = re.compile(r"[\d=_/\\<>{}]")
+_CODED = re.compile(r"(?<!\S)\S*[\d=_/\\<>{}]\S*")
 _EITHER = re.compile(r"[“„«\"`\d=_/\\<>{}]")
 _END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*(?:\s+(?![a-zß-öø-ÿа-яєіїґ\d])|$)")
 _ITEM = re.compile(r"^\s*(?:[-*•–>]|\d{1,3}[.)])\s+")
@@ -101,7 +101,7 @@ def clean_sentence(text: str) -> list[str]:
     if _EITHER.search(text):
         if _MARK.search(text):
             text = _QUOTED.sub(" ", text)
-        text = " ".join([t for t in text.split() if not _CODE.search(t)])
+        text = _CODED.sub(" ", text)
     words = _WORD.findall(text)
     small = [w for w in words if w.islower()]
     # The first word is capitalised anyway; it may be a name, so it counts only where little else does.
@@ -121,44 +121,67 @@ class Profiles:
                     counts[g] += n
             ranked[code] = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]]
         self.ids = {g: i for i, g in enumerate(sorted({g for r in ranked.values() for g in r}))}
-        self.ranks = np.full((len(self.ids) + 1, len(LANGUAGES)), PROFILE, np.int32)  # the last row: unknown n-gram
+        self.ranks = np.full((len(LANGUAGES), len(self.ids) + 1), PROFILE, np.int32)  # the last column: unknown n-gram
         for k, code in enumerate(LANGUAGES):
             for rank, g in enumerate(ranked[code]):
-                self.ranks[self.ids[g], k] = rank
-        self.grams: dict[str, list[int]] = {}
+                self.ranks[k, self.ids[g]] = rank
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the tables of known words and sentences; they save work only."""
+        self.numbers: dict[str, int] = {}
+        self.pool, self.start = np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64)
         self.seen: dict[str, tuple[int, float]] = {}
 
     def __getstate__(self):
-        return {"ids": self.ids, "ranks": self.ranks, "grams": {}, "seen": {}}
-
-    def _ids(self, word: str) -> np.ndarray:
-        ids = self.grams.get(word)
-        if ids is None:
-            if len(self.grams) > REMEMBERED:
-                self.grams.clear()
-            unknown = len(self.ids)
-            ids = self.grams[word] = np.array([self.ids.get(g, unknown) for g in grams_of(word)], np.int64)
-        return ids
+        return {"ids": self.ids, "ranks": self.ranks}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Puts the n-grams of new words into the pool, one word after the other."""
+        unknown, at = len(self.ids), int(self.start[len(self.numbers)])
+        for w in words:
+            ids = [self.ids.get(g, unknown) for g in grams_of(w)]
+            while at + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[at : at + len(ids)] = ids
+            at += len(ids)
+            n = self.numbers[w] = len(self.numbers)
+            if n + 2 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.start[n + 1] = at
 
     def distances(self, many: list[list[str]], block: int = 4096) -> np.ndarray:
         """Mean out-of-place distance per n-gram of each word list to each language; ties of frequency in order of n-gram."""
         out = np.zeros((len(many), len(LANGUAGES)))
-        wide = len(self.ids) + 1
+        wide, deep = len(self.ids) + 1, 1 << 20
         for at in range(0, len(many), block):
-            part = [[self._ids(w) for w in words] for words in many[at : at + block]]
-            size = [sum(map(len, p)) for p in part]
-            if not sum(size):
+            part = many[at : at + block]
+            if len(self.numbers) > REMEMBERED:
+                self.numbers.clear()
+            self._learn(dict.fromkeys(w for words in part for w in words if w not in self.numbers))
+            numbers = np.array([self.numbers[w] for words in part for w in words], np.int64)
+            if not len(numbers):
                 continue
-            flat = np.concatenate([ids for p in part for ids in p])
-            gram, count = np.unique(flat + np.repeat(np.arange(len(part)) * wide, size), return_counts=True)
-            owner, gram = np.divmod(gram, wide)
-            order = np.lexsort((gram, -count, owner))
+            first = self.start[numbers]
+            size = self.start[numbers + 1] - first
+            flat = self.pool[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            owner = np.repeat(np.repeat(np.arange(len(part)), [len(words) for words in part]), size)
+            key = np.sort(owner * wide + flat)
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[begin, len(key)])
+            owner, gram = np.divmod(key[begin], wide)
+            # In order of n-gram already; by frequency now.
+            order = np.argsort(owner * deep + (deep - 1 - np.minimum(count, deep - 1)), kind="stable")
             owner, gram = owner[order], gram[order]
             start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             kinds = np.diff(np.r_[start, len(owner)])
-            place = np.arange(len(owner)) - np.repeat(start, kinds)
-            far = np.abs(self.ranks[gram] - place[:, None].astype(np.int32))
-            out[at + owner[start]] = np.add.reduceat(far, start, axis=0, dtype=np.float64) / kinds[:, None]
+            place = (np.arange(len(owner)) - np.repeat(start, kinds)).astype(np.int32)
+            for k, ranks in enumerate(self.ranks):
+                out[at + owner[start], k] = np.add.reduceat(np.abs(ranks[gram] - place), start, dtype=np.int64) / kinds
         return out
 
     def decide(self, many: list[list[str]]) -> list[tuple[int, float]]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,8 @@ class LevelModel:
                             self.grams[level][context[-k:] if k else "", c] += 1
                             self.contexts[level][context[-k:] if k else ""] += 1
         self.total = [max(1, sum(c.values())) for c in self.words]
-        self.alone: dict[str, np.ndarray] = {}
+        self.alone: dict[str, tuple[float, ...]] = {}
+        self.spelled: dict[str, tuple[float, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -87,44 +89,58 @@ class LevelModel:
         self.table = np.empty((1024, len(LEVELS)))
 
     def __getstate__(self):
-        return self.__dict__ | {"alone": {}, "joined": {}, "table": np.empty((1024, len(LEVELS)))}
+        return self.__dict__ | {"alone": {}, "spelled": {}, "joined": {}, "table": np.empty((1024, len(LEVELS)))}
 
     def _characters(self, word: str) -> Iterator[tuple[str, str]]:
         w = "^" * (self.order - 1) + word + "$"
         for i in range(self.order - 1, len(w)):
             yield w[i - self.order + 1 : i], w[i]
 
-    def _word(self, word: str) -> np.ndarray:
+    def _character(self, window: str) -> tuple[float, ...]:
+        """Probability of the window's last character after the others, at each level."""
+        p = self.spelled.get(window)
+        if p is None:
+            context, c = window[:-1], window[-1]
+            out = []
+            for grams, contexts in zip(self.grams, self.contexts, strict=True):
+                x = 1 / 60
+                for k in range(self.order):
+                    h = context[-k:] if k else ""
+                    n = contexts[h]
+                    if n:
+                        x = (grams[h, c] + 2 * x) / (n + 2)
+                out.append(x)
+            p = self.spelled[window] = tuple(out)
+        return p
+
+    def _word(self, word: str) -> tuple[float, ...]:
         """Probabilities of a word without its context: word frequency and its spelling."""
         p = self.alone.get(word)
         if p is None:
-            p = np.empty(len(LEVELS))
-            for level in range(len(LEVELS)):
-                grams, contexts = self.grams[level], self.contexts[level]
-                spelled = 1.0
-                for context, c in self._characters(word):
-                    x = 1 / 60
-                    for k in range(self.order):
-                        h = context[-k:] if k else ""
-                        n = contexts[h]
-                        if n:
-                            x = (grams[h, c] + 2 * x) / (n + 2)
-                    spelled *= x
-                p[level] = CHARACTER * spelled + WORD * self.words[level][word] / self.total[level]
+            a = b = c = 1.0
+            n = self.order
+            padded = "^" * (n - 1) + word + "$"
+            for i in range(len(padded) - n + 1):
+                x, y, z = self._character(padded[i : i + n])
+                a, b, c = a * x, b * y, c * z
+            p = tuple(CHARACTER * x + WORD * self.words[k][word] / self.total[k] for k, x in enumerate((a, b, c)))
             if len(self.alone) > REMEMBERED:
                 self.alone.clear()
+                self.spelled.clear()
             self.alone[word] = p
         return p
 
     def _add(self, key: tuple[str, str]) -> int:
         """Row of the table with the surprisal of a word after another, at each level."""
         previous, word = key
-        pair = np.array([self.pairs[k][key] / self.firsts[k][previous] if self.firsts[k][previous] else 0.0 for k in range(len(LEVELS))])
-        own = self._word(word) + PAIR * pair
+        own = self._word(word)
+        if any(key in p for p in self.pairs):
+            own = [x + PAIR * self.pairs[k][key] / self.firsts[k][previous] if self.firsts[k][previous] else x for k, x in enumerate(own)]
+        shared = SHARED * sum(own) / len(own)
         row = self.joined[key] = len(self.joined)
         if row == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[row] = -np.log(np.maximum((1 - SHARED) * own + SHARED * own.mean(), 1e-40))
+        self.table[row] = [-log(max((1 - SHARED) * x + shared, 1e-40)) for x in own]
         return row
 
     def surprisals(self, many: list[list[str]]) -> np.ndarray:
