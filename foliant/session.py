@@ -43,7 +43,7 @@ def slots(spark: SparkSession) -> int:
 
 
 #: Bytes that a task of a CPU-heavy step reads.
-TASK_BYTES = 10 << 20
+TASK_BYTES = 6 << 20
 
 
 def spread(df: DataFrame, by: str | None = None, size: int = 0) -> DataFrame:
