@@ -78,7 +78,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[str, int, str]
     """(text, tokens, kind of boundary at its end) of each piece."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
     kinds = boundaries(text, spans)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     out, start = [], 0
     for end in cuts([text[a:b] for a, b in spans], kinds, limit, overlap):
         first = max(0, start - overlap)
@@ -114,7 +114,7 @@ def split_chunks(chunks: DataFrame, settings: DataFrame) -> DataFrame:
     """Pieces of every oversized chunk, each within the limit, repeating ``chunk_overlap`` tokens of the one before.
 
     * null text, null or unknown notebook, null or non-positive chunk_size: not cut. Null overlap: 0;
-      an overlap above half the limit counts as half.
+      an overlap of the limit or more counts as one token less than the limit, for each piece must add one.
     * a chunk delivered twice is cut once; repeated settings rows count once, the smallest size holds.
     * very long texts are cut whole; a text without white space is one token and never oversized.
     * empty tables: no pieces. Extra columns are not read.

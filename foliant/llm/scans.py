@@ -1,8 +1,8 @@
 """Repair of text from scanned pages (problem 5).
 
 Lines are labelled body, heading, header, page number or reading by a hidden
-Markov model over layout features; words are checked against counts of the
-whole corpus kept in a sketch of fixed size. Words cut by a line end are
+Markov model over layout features; words are checked against exact counts of
+the whole corpus, which hold every word above a share of it. Words cut by a line end are
 joined, misread characters corrected, headers and page numbers removed, and
 the remaining lines reassembled into paragraphs.
 """
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from foliant.functions.text import strip
 from foliant.session import cut
 
-#: Buckets of each of the two rows of the word-count sketch (4 bytes each), whatever the corpus.
-BUCKETS = 1 << 21
 #: Chunks whose lines train the line model.
 SAMPLE = 4000
 #: Count from which a word is known, and how much more frequent a correction must be than what was read.
 KNOWN, RATIO = 4, 12
+#: Words of a corpus in which one occurrence counts as one; in a larger one, one among so many words does.
+WORDS = 2_500_000
+#: Words rarer than this part of a known one are taken as never seen, which bounds the table to WORDS / (KNOWN x SELDOM) entries.
+SELDOM = 0.1
 #: A running line stands on at least one in PAGES of its document's chunks.
 PAGES = 3
 
@@ -65,9 +67,12 @@ _HYPHENS = "-‐‑­¬"
 _STOP = re.compile(r"[.!?…:;]['\"”»’)\]]*$")
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
 def folded(line: str) -> str:
     """Letters of a line in one script and case, for comparing running headers."""
-    return "".join(c for c in line.casefold().translate(_TO_LATIN) if c.isalpha())
+    return _NO_LETTER.sub("", line.casefold().translate(_TO_LATIN))
 
 
 def two_scripts(word: str) -> bool:
@@ -80,12 +85,6 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def places(word: str) -> tuple[int, int]:
-    """The word's bucket in each row of the sketch."""
-    h = digest(word) & 0xFFFFFFFFFFFFFFFF
-    return h % BUCKETS, BUCKETS + (h >> 32) % BUCKETS
-
-
 def interior_words(text: str) -> Iterator[str]:
     """Words and compounds of a text that touch no line end, in lower case."""
     for line in text.splitlines():
@@ -97,41 +96,45 @@ def interior_words(text: str) -> Iterator[str]:
 
 
 class Lexicon:
-    """Count-min sketch of the corpus's words."""
+    """Counts of the corpus's words by hash; ``unit`` occurrences in it weigh as much as one in a corpus of WORDS words."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.unit = max(1.0, total / WORDS)
         self.seen: dict[str, int] = {}
 
+    @staticmethod
+    def of(counts: dict[str, int], total: int | None = None) -> Lexicon:
+        return Lexicon(np.array([digest(w) for w in counts], np.int64), np.array(list(counts.values()), np.int64), sum(counts.values()) if total is None else total)
+
     def __getstate__(self):
-        return {"counts": self.counts, "seen": {}}
+        return self.__dict__ | {"seen": {}}
 
     def count(self, word: str) -> int:
         n = self.seen.get(word)
         if n is None:
             if len(self.seen) > 1 << 19:
                 self.seen.clear()
-            a, b = places(word)
-            n = self.seen[word] = int(min(self.counts[a], self.counts[b]))
+            h = digest(word)
+            at = int(np.searchsorted(self.hashes, h))
+            n = self.seen[word] = int(self.counts[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
         return n
 
     def known(self, word: str) -> bool:
-        return self.count(word) >= KNOWN
+        return self.count(word) >= KNOWN * self.unit
 
 
 def fit_lexicon(chunks: DataFrame) -> Lexicon:
-    """Word counts over every chunk, summed on the executors; at most 2 x BUCKETS rows reach the driver."""
+    """Word counts over every chunk, summed on the executors; words that are too rare to matter stay there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            sums: Counter[int] = Counter()
-            for w, n in counts.items():
-                for place in places(w):
-                    sums[place] += n
+            columns = [pa.array([digest(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], ["b", "n"])
+            return pa.RecordBatch.from_arrays(columns, ["h", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -140,10 +143,10 @@ def fit_lexicon(chunks: DataFrame) -> Lexicon:
                 yield flush()
         yield flush()
 
-    rows = chunks.filter(F.col("chunk_text").isNotNull()).select("chunk_text").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * BUCKETS, np.int32)
-    counts[rows["b"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
-    return Lexicon(counts)
+    words = cut(chunks.filter(F.col("chunk_text").isNotNull()).select("chunk_text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    rows = words.filter(F.col("n") >= KNOWN * SELDOM * max(1.0, total / WORDS)).toArrow()
+    return Lexicon(rows["h"].to_numpy(), rows["n"].to_numpy(), total)
 
 
 class Glyphs:
@@ -152,12 +155,23 @@ class Glyphs:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.fixed: dict[str, str | None] = {}
+        self.tokens: dict[str, tuple[str, str] | None] = {}
         self.inverse: dict[str, list[str]] = {}
         for read, meant in CONFUSIONS:
             self.inverse.setdefault(read, []).append(meant)
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "fixed": {}, "inverse": self.inverse}
+        return {"lexicon": self.lexicon, "fixed": {}, "tokens": {}, "inverse": self.inverse}
+
+    def misread(self, token: str) -> tuple[str, str] | None:
+        """``misread`` of a token, remembered."""
+        try:
+            return self.tokens[token]
+        except KeyError:
+            if len(self.tokens) > 1 << 18:
+                self.tokens.clear()
+            found = self.tokens[token] = misread(token, self)
+            return found
 
     def _variants(self, word: str) -> Iterator[str]:
         for read, meant in self.inverse.items():
@@ -195,7 +209,8 @@ class Glyphs:
                 if n > most:
                     best, most = v, n
             # Short plain words are one confusion from many others; they need more.
-            need = max(KNOWN, RATIO * (own + 1)) if plain and len(word) < 6 else max(KNOWN, RATIO * own)
+            unit = self.lexicon.unit
+            need = max(KNOWN * unit, RATIO * (own + unit)) if plain and len(word) < 6 else max(KNOWN * unit, RATIO * own)
             if most < need or best == word:
                 best = None
         self.fixed[word] = best
@@ -254,18 +269,21 @@ class Line:
 SYMBOLS = 5 * 4 * 5 * 2 * 2 * 4
 #: Log-odds that the rules of ``seeds`` lend to a state; features and neighbouring lines can outweigh them.
 PRIOR = 3.0
+#: Estimations of the line model at most.
+ROUNDS = 20
 STATES = ("body", "heading", "header", "pageno", "reading", "break")
 
 
 def page_mark(text: str, page: int | None) -> int:
     """The ``page`` feature of a line."""
-    for strength, form in _PAGE_FORMS:
-        m = form.match(text)
-        if m and any(c.isdigit() for c in text):
-            numbers = [g.translate(DIGITS) for g in m.groups() if g]
-            if page is None:
-                return strength
-            return 3 if str(page) in [n.lstrip("0") or "0" for n in numbers if n.isdigit()] else 4
+    if any(c.isdigit() for c in text):
+        for strength, form in _PAGE_FORMS:
+            m = form.match(text)
+            if m:
+                numbers = [g.translate(DIGITS) for g in m.groups() if g]
+                if page is None:
+                    return strength
+                return 3 if str(page) in [n.lstrip("0") or "0" for n in numbers if n.isdigit()] else 4
     if page is not None and text.translate(DIGITS) == str(page):
         return 3
     n = roman(text)
@@ -285,8 +303,8 @@ def lines_of(text: str, page: int | None, recurring: set[int], title: str) -> li
     out = []
     for r in raw:
         bare = r.strip()
-        mark = page_mark(bare, page) if bare and len(bare) < 40 else 0
-        letters = folded(bare) if bare and len(bare) <= 90 else ""
+        mark = page_mark(bare, page) if bare else 0
+        letters = folded(bare) if bare else ""
         known = bool(letters) and len(letters) >= 4
         titled = known and len(title) >= 6 and title in letters and len(letters) <= 3 * len(title) and "(" not in bare
         recurs = known and not bare[0].islower() and digest(letters) in recurring
@@ -322,7 +340,7 @@ def seeds(lines: list[Line]) -> list[int | None]:
 
 
 class LineModel:
-    """Hidden Markov model of the lines of a page: counts of the rules' states, then one re-estimation on its own labels.
+    """Hidden Markov model of the lines of a page: counts of the rules' states, then estimated again on its own labels until they settle.
 
     ``hidden``: the same pages as they look without their page number, or None;
     their lines count with the states of the numbered page, so the model learns
@@ -334,10 +352,14 @@ class LineModel:
         symbols = [[x.symbol() for x in p] for p in pages]
         blind = [(i, [x.symbol() for x in h]) for i, h in enumerate(hidden or []) if h is not None]
         guesses: list[list[int | None]] = [seeds(p) for p in pages]
-        for _ in range(2):
+        first = guesses
+        for _ in range(ROUNDS):
             self._count(symbols + [y for _, y in blind], guesses + [guesses[i] for i, _ in blind])
-            guesses = [self.states(p) for p in pages]
-        self._count(symbols + [y for _, y in blind], guesses + [guesses[i] for i, _ in blind])
+            before, guesses = guesses, [self.states(p) for p in pages]
+            if before == guesses:
+                break
+        #: How many lines of the sample the model labels otherwise than the rules, and all of them.
+        self.changed = sum(a != b for p, q in zip(first, guesses, strict=True) for a, b in zip(p, q, strict=True)), sum(map(len, guesses))
         self.paths = {}
 
     def __getstate__(self):
@@ -394,11 +416,19 @@ class LineModel:
         return path[::-1]
 
 
+_LEFT = re.compile(rf"^(.*?)([^\W\d_]+)(\s?[{re.escape(_BREAK_MARKS)}])?$")
+_RIGHT = re.compile(r"^([^\W\d_]+)(.*)$", re.DOTALL)
+_STEM = re.compile(rf"^(.*?)[^\W\d_]+\s?[{re.escape(_BREAK_MARKS)}]?$")
+_OPENS = re.compile(r"\d{1,3}[.)]\s|\|")
+_NO_WORD = re.compile(r"[^\w-]")
+
+
 def joined_break(left: str, right: str, glyphs: Glyphs) -> str | None:
     """The whole word if a line end cuts one in two (``left`` with its mark), else None."""
-    m = re.match(rf"^(.*?)([^\W\d_]+)(\s?[{re.escape(_BREAK_MARKS)}])?$", left)
-    r = re.match(r"^([^\W\d_]+)(.*)$", right, re.DOTALL)
-    if not m or not r or not right[0].islower():
+    if not right[:1].islower():
+        return None
+    m, r = _LEFT.match(left), _RIGHT.match(right)
+    if not m or not r:
         return None
     a, b, mark = m.group(2).lower(), r.group(1).lower(), (m.group(3) or "").strip()
     lexicon = glyphs.lexicon
@@ -409,14 +439,17 @@ def joined_break(left: str, right: str, glyphs: Glyphs) -> str | None:
         pair = lexicon.count(f"{a}-{b}")
         if mark in _HYPHENS and pair and pair >= n:
             return None
-        if n >= KNOWN or glyphs.correction(a + b):
+        if lexicon.known(a + b) or glyphs.correction(a + b):
             return m.group(2) + r.group(1)
         if mark in _HYPHENS and n >= 0 and not (lexicon.known(a) and lexicon.known(b)):
             # A part of a longer compound is cut as well: its other half is unknown.
             return m.group(2) + r.group(1)
         return None
     fragments = not lexicon.known(a) or not lexicon.known(b)
-    if n >= KNOWN and n > 4 * min(lexicon.count(a), lexicon.count(b)) and fragments:
+    if fragments and not lexicon.known(a + b) and (meant := glyphs.correction(a + b)):
+        n = lexicon.count(meant)
+        return m.group(2) + r.group(1) if n > 4 * min(lexicon.count(a), lexicon.count(b)) else None
+    if lexicon.known(a + b) and n > 4 * min(lexicon.count(a), lexicon.count(b)) and fragments:
         return m.group(2) + r.group(1)
     return None
 
@@ -440,7 +473,7 @@ def repair(text: str, page: int | None, recurring: set[int], title: str, glyphs:
         if not t:
             fresh = True
             continue
-        if fresh or s in (1, 4) or t[:2] in ("- ", "• ") or re.match(r"\d{1,3}[.)]\s|\|", t):
+        if fresh or s in (1, 4) or t[:2] in ("- ", "• ") or _OPENS.match(t):
             paragraphs.append(t)
             fresh = s in (1, 4)
             continue
@@ -452,19 +485,19 @@ def repair(text: str, page: int | None, recurring: set[int], title: str, glyphs:
         whole = joined_break(last, head, glyphs)
         if whole:
             noise.add("split_word")
-            stem = re.match(rf"^(.*?)[^\W\d_]+\s?[{re.escape(_BREAK_MARKS)}]?$", last).group(1)
-            after = head[len(re.match(r"^[^\W\d_]+", head).group()) :]
+            stem = _STEM.match(last).group(1)
+            after = head[len(_LETTERS.match(head).group()) :]
             paragraphs[-1] = " ".join(p for p in (before, stem + whole + after, rest) if p)
         else:
             # A compound keeps its hyphen and closes up; a hanging hyphen keeps its space.
-            pair = re.sub(r"[^\w-]", "", f"{last}{head}").lower()
+            pair = _NO_WORD.sub("", f"{last}{head}").lower()
             glue = "" if last[-1:] in "-‐" and glyphs.lexicon.count(pair.replace("‐", "-")) else " "
             paragraphs[-1] += glue + t
     out = []
     for p in paragraphs:
         changes = {}
         for token in _TOKEN.findall(p):
-            if token not in changes and (fix := misread(token, glyphs)):
+            if token not in changes and (fix := glyphs.misread(token)):
                 changes[token] = token.replace(*fix, 1)
         if changes:
             noise.add("glyph")
@@ -498,7 +531,7 @@ def recurring_lines(chunks: DataFrame) -> DataFrame:
             docs, hashes, owners = [], [], []
             for doc, chunk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for line in {t.strip() for t in text.splitlines()}:
-                    if 4 <= len(line) <= 90 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS and not page_mark(line, None):
+                    if len(line) >= 4 and not _STOP.search(line) and line[0] not in "#|-•" and not line[0].islower() and line[-1] not in _BREAK_MARKS and not page_mark(line, None):
                         letters = folded(line)
                         if len(letters) >= 4:
                             docs.append(doc)

@@ -8,27 +8,33 @@ and a surviving value for every field.
 
 Field values follow currency reasoning: precedence between the values of a
 field is learned from groups whose rows carry timestamps (value a is replaced
-by value b), which orders the values of groups whose timestamps are missing;
-the topologically latest real value survives. All steps are aggregations with
-map-side combining on (group, field, value), so no group is ever gathered.
+by value b), for every field. The learned steps form a graph; its cycles are
+broken at their least supported steps, and each value's level is the longest
+chain of steps that leads to it, so whatever replaces a value, directly or
+through others, is above it. Of a group's values those with times are ordered
+by them, the others by their level; the topologically latest survives. All
+steps are aggregations with map-side combining on (group, field, value) and
+joins on them, so no group is ever gathered and no pairs within it are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import is_blank, squeezed, strip
+from foliant.operators.ordering import previous_row
 from foliant.session import cut
 
 # Spellings that stand for "no value".
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "undefined", "untitled", "untitled document", "no title", "tbd"]
 
-#: Fields of the surviving record, and whether their values are few enough for learned precedence.
-FIELDS = {
-    "title": False, "authors": False, "year": False, "filename": False, "source": False, "size_bytes": False,
-    "lang": True, "is_enabled": True, "is_indexed": True, "index_error": True,
-}
+#: Fields of the surviving record.
+FIELDS = ("title", "authors", "year", "filename", "source", "size_bytes", "lang", "is_enabled", "is_indexed", "index_error")
+#: Microseconds within which the values of one group and field are put in order together.
+SPAN = 30 * 86_400_000_000
 
 
 def clean_hash(c: Column) -> Column:
@@ -157,55 +163,74 @@ def _values(rows: DataFrame) -> DataFrame:
 
 
 def learn_precedence(values: DataFrame, support: int = 2) -> DataFrame:
-    """(field, value, later): pairs of values of which the second replaced the first more often than the reverse."""
-    in_time = Window.partitionBy("g", "field").orderBy("first", "value")
-    learned = [f for f, few in FIELDS.items() if few]
+    """(field, value, later, n): pairs of values of which the second followed the first in n groups, more often than the reverse.
+
+    Of the values of a group that appeared at the same time the largest is followed.
+    """
+    timed = values.filter(F.col("first").isNotNull()).groupBy("g", "field", F.unix_micros("first").alias("at"))
+    timed = timed.agg(F.max(F.struct("value", F.unix_micros("last").alias("last"))).alias("v")).select(F.struct("g", "field").alias("key"), "at", "v.value", "v.last")
     steps = (
-        values.filter(F.col("field").isin(learned) & F.col("first").isNotNull())
-        .withColumn("later", F.lead("value").over(in_time))
-        .withColumn("later_first", F.lead("first").over(in_time))
-        .filter(F.col("last") < F.col("later_first"))
-        .groupBy("field", "value", "later")
+        previous_row(timed.filter("at >= 0"), "key", "at", ["value", "last"], SPAN)
+        .filter((F.col("prev_last") < F.col("at")) & (F.col("prev_value") != F.col("value")))
+        .groupBy(F.col("key.field").alias("field"), F.col("prev_value").alias("value"), F.col("value").alias("later"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= support)
     )
+    steps = cut(steps)
     back = steps.select("field", F.col("value").alias("later"), F.col("later").alias("value"), F.col("n").alias("against"))
-    return (
-        steps.join(back, ["field", "value", "later"], "left")
-        .filter((F.col("n") >= support) & (F.col("n") > F.coalesce("against", F.lit(0))))
-        .select("field", "value", "later")
-    )
+    return steps.join(back, ["field", "value", "later"], "left").filter(F.col("n") > F.coalesce("against", F.lit(0))).select("field", "value", "later", "n")
+
+
+def levels(steps: DataFrame) -> DataFrame:
+    """(field, value, level): the longest chain of steps that leads to each value; later values are above.
+
+    Values that nothing precedes are peeled off round by round. Where only cycles
+    are left in a field, its least supported steps there are dropped.
+    """
+    spark = steps.sparkSession
+    left = cut(steps)
+    found = [spark.createDataFrame([], "field string, value string, level int")]
+    passed = [spark.createDataFrame([], "field string, value string, level int")]
+    level = 0
+    while not left.isEmpty():
+        heads = left.select("field", "value").distinct().join(left.select("field", F.col("later").alias("value")).distinct(), ["field", "value"], "left_anti")
+        heads = cut(heads)
+        # A field without heads has cycles only.
+        stuck = left.join(heads.select("field").distinct(), "field", "left_anti")
+        weakest = stuck.groupBy("field").agg(F.min("n").alias("n"))
+        gone = left.join(heads, ["field", "value"], "left_semi")
+        rest = left.join(heads, ["field", "value"], "left_anti").join(weakest, ["field", "n"], "left_anti")
+        found.append(heads.withColumn("level", F.lit(level)))
+        passed.append(cut(gone.select("field", F.col("later").alias("value"), F.lit(level + 1).alias("level")).distinct()))
+        left = cut(rest)
+        level += 1
+    every = reduce(DataFrame.unionByName, found + passed)
+    return every.groupBy("field", "value").agg(F.max("level").alias("level"))
+
+
+def latest_values(values: DataFrame, order: DataFrame) -> DataFrame:
+    """(g, field, value): the topologically latest value of each field of each group.
+
+    Of values with times only the last seen takes part, beside those without. The highest level wins; a timed
+    value of which no step is known stands above all others. Then: timed, most frequent, largest value.
+    """
+    last = values.groupBy("g", "field").agg(F.max("last").alias("top"))
+    rows = values.join(last, ["g", "field"]).filter(F.col("last").isNull() | (F.col("last") == F.col("top"))).join(order, ["field", "value"], "left")
+    timed = F.col("last").isNotNull()
+    height = F.coalesce("level", F.when(timed, F.lit(2147483647)).otherwise(F.lit(-1)))
+    return rows.groupBy("g", "field").agg(F.max(F.struct(height.alias("height"), timed.alias("timed"), "n", "value")).alias("x")).select("g", "field", "x.value")
 
 
 def surviving_records(df: DataFrame) -> DataFrame:
     """Group ids, best record and one surviving value per field (strings; null where no record has a real one).
 
-    A field's value is its topologically latest one: values seen at known times
-    are ordered by them, others by the learned precedence; then the latest, the
-    most frequent, the smallest value.
+    * a field's value is its topologically latest one (``latest_values``), whichever record it stands in.
+    * cyclic precedence is broken where it has least support; values never seen to follow each other are settled by the stated ties.
+    * nulls, empty tables, repeated rows and absent columns: as in ``best_records``.
     """
     rows = grouped(df, fields=True)
-    groups = _best(rows)
+    groups = cut(_best(rows))
     values = cut(_values(rows).join(groups.select("g"), "g", "left_semi"))
-    order = learn_precedence(values)
-    # How many of its group's other values each value is known to replace.
-    rival = values.select("g", "field", F.col("value").alias("other"), F.col("last").alias("other_last"))
-    learned = [f for f, few in FIELDS.items() if few]
-    replaced = (
-        values.filter(F.col("field").isin(learned))
-        .join(rival, ["g", "field"])
-        .filter("value <> other")
-        .join(order.select("field", F.col("value").alias("other"), F.col("later").alias("value"), F.lit(1).alias("wins")), ["field", "other", "value"], "left")
-        .withColumn("later", F.when(F.col("last").isNotNull() & F.col("other_last").isNotNull(), (F.col("last") > F.col("other_last")).cast("int")).otherwise(F.coalesce("wins", F.lit(0))))
-        .groupBy("g", "field", "value")
-        .agg(F.sum("later").alias("rank"))
-    )
-    latest = F.max(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "last", "n", "value"))
-    survivors = (
-        values.join(replaced, ["g", "field", "value"], "left")
-        .groupBy("g", "field")
-        .agg(latest["value"].alias("value"))
-        .groupBy("g")
-        .pivot("field", list(FIELDS))
-        .agg(F.first("value"))
-    )
+    latest = latest_values(values, levels(learn_precedence(values)))
+    survivors = latest.groupBy("g").agg(*[F.max(F.when(F.col("field") == name, F.col("value"))).alias(name) for name in FIELDS])
     return groups.join(survivors, "g", "left").drop("g")
