@@ -12,11 +12,12 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -36,6 +37,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def vocabulary_of(spark: SparkSession, path: str | None = None) -> Callable[[], str]:
+    """What gives a worker its path of the rank file: the file of the driver, sent to every executor with the job."""
+    name = path or f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
+    if "://" not in name and not os.path.exists(name):
+        raise FileNotFoundError(f"{name}: name the vocabulary by `path` or FOLIANT_TOKENIZERS")
+    spark.sparkContext.addFile(name)
+    base = os.path.basename(name)
+    return lambda: SparkFiles.get(base)
+
+
 class ByteBpe:
     """Encoder and decoder of one rank vocabulary."""
 
@@ -123,11 +134,11 @@ def encode_column(
     * very long text: encoded whole; memory is that of one text and its ids.
     * empty table: no rows. Further columns, whatever their names, are not read.
     """
-    vocabulary = path or f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
+    vocabulary = vocabulary_of(df.sparkSession, path)
     schema = df.select(F.col(id_col)).schema.add(out_col, ArrayType(IntegerType()), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary)
+        bpe = ByteBpe(vocabulary())
         for batch in batches:
             rows = [bpe.packed(t) if t else b"" for t in batch.column(1).to_pylist()]
             ends = np.zeros(len(rows) + 1, np.int32)

@@ -72,9 +72,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_raked(spark: SparkSession, d: str) -> DataFrame:
-    """Shares when the languages are raked as well: half of the tokens English, the rest even."""
-    languages = {"en": 0.5, "de": 0.1, "fr": 0.1, "es": 0.1, "pt": 0.1, "ru": 0.1}
-    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), {"language": languages})[1]
+    """Languages and topics of the mixture: their shares in the sources, the wanted and the reached ones."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[2]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

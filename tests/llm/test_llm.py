@@ -47,6 +47,8 @@ def test_bpe_equals_an_independent_encoder(spark):
     alphabet = "abcdeéß漢🙂 \n\t ​0123.,'<|>ЖжІї"
     many = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
     many += ["", " ", "<|endoftext|>", "a" * 5000, "é " * 50, "it's we'll", "   x", "\r\n\r\n"]
+    with pytest.raises(FileNotFoundError):
+        bpe.vocabulary_of(spark, "/no/such.file")
     mine = bpe.ByteBpe(TOKENS, cache_entries=50)  # a table so small that it is emptied often
     for t in many:
         assert mine.encode(t) == other.encode_ordinary(t), repr(t)
@@ -460,13 +462,20 @@ def test_running_lines_of_one_issuer_in_many_documents(spark):
 # --- 8: mixtures
 
 
-def test_raking_reaches_both_marginals():
-    tokens_ = np.array([100.0, 50, 30, 20])
-    labels_ = [np.array(["a", "a", "b", "b"]), np.array(["en", "de", "en", "de"])]
-    w = mixture.rake(tokens_, labels_, [{"a": 0.5, "b": 0.3, "none": 0.2}, {"en": 0.7, "de": 0.3}], np.full(4, 3.0))
+def test_raking_reaches_all_marginals_within_the_caps():
+    rng = np.random.default_rng(3)
+    source, language = np.repeat(np.array(["a", "b", "c"]), 4), np.tile(np.array(["en", "de", "fr", "und"]), 3)
+    have, most = rng.uniform(50, 100, 12), np.repeat([2.0, 3, 1], 4)
+    weights = {"a": 0.5, "b": 0.2, "c": 0.1, "none": 0.2}
+    w = mixture.rake(have, most, source, weights, [(language, {"en": 0.3, "de": 0.3, "fr": 0.2, "und": 0.2})])
     share = w / w.sum()
-    assert share[:2].sum() == pytest.approx(0.625) and share[[0, 2]].sum() == pytest.approx(0.7)
-    assert (w <= 3 * tokens_ + 1e-6).all() and (w / (3 * tokens_)).max() == pytest.approx(1)
+    assert [share[source == k].sum() for k in "abc"] == pytest.approx([0.625, 0.25, 0.125], abs=1e-6)
+    assert [share[language == k].sum() for k in ("en", "de", "fr", "und")] == pytest.approx([0.3, 0.3, 0.2, 0.2], abs=0.01)
+    assert (w <= most * have + 1e-6).all()
+    # A marginal beyond the caps is met as far as they allow; the sources' shares stay exact.
+    w = mixture.rake(have, most, source, weights, [(language, {"en": 1.0})])
+    assert [w[source == k].sum() / w.sum() for k in "abc"] == pytest.approx([0.625, 0.25, 0.125], abs=1e-6) and (w <= most * have + 1e-6).all()
+    assert mixture.rake(np.zeros(1), np.ones(1), np.array(["a"]), {"a": 1.0}, [])[0] == 0
 
 
 @tokens
@@ -476,10 +485,11 @@ def test_mixture_shares_caps_and_edges(spark):
     rows += [(9000, "c", None, "en"), (9001, "c", "", "en"), (9002, None, "word", "en"), (None, "a", "word", "en"), (rows[0]), (9003, "z", "word " * 50, "en")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, source string, text string, lang string, tokens string")
     targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.4, 3), ("b", 0.4, 3), ("c", 0.1, 1), ("d", 0.1, 1), ("e", -1.0, 1), (None, 1.0, 1)], "source string, weight double, max_repeats int")
-    selection, report = mixture.mixture(docs, targets)
+    selection, report, told = mixture.mixture(docs, targets)
     got = {r["source"]: r for r in report.collect()}
     assert set(got) == {"a", "b", "c", "d"} and got["c"]["actual_share"] == got["d"]["actual_share"] == 0
     assert got["a"]["actual_share"] == pytest.approx(0.5, abs=0.003) and got["b"]["target_share"] == pytest.approx(0.5)
+    assert {r["marginal"] for r in told.collect()} == {"language", "topic"}
     chosen = selection.collect()
     assert all(1 <= r["copies"] <= {"a": 2, "b": 3}[r["source"]] for r in chosen) and len({r["doc_id"] for r in chosen}) == len(chosen)
     assert mixture.mixture(docs.limit(0), targets)[0].count() == 0 and mixture.mixture(docs, targets.limit(0))[1].count() == 0
