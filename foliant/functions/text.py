@@ -69,5 +69,44 @@ def filled(c: Column | str) -> Column:
 
 
 def citation_refs(c: Column | str) -> Column:
-    """Numbers of the ``[N]`` references of an answer, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("bigint"))
+    """Numbers of the ``[N]`` references of an answer, in order; of any length that a decimal holds."""
+    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("decimal(38,0)"))
+
+
+def answer_segments(c: Column | str) -> Column:
+    """An answer as a list of (kind, value): its texts and its ``[N]`` references, in order, without empty texts."""
+    text = F.coalesce(col(c), F.lit(""))
+    between = F.split(text, r"\[\d+\]")
+    refs = F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    both = F.transform(between, lambda t, i: F.array(part("text", t), part("ref", F.get(refs, i))))
+    return F.filter(F.flatten(both), lambda x: x["value"].isNotNull() & ((x["kind"] == "ref") | (x["value"] != "")))
+
+
+def listed(c: Column | str) -> Column:
+    """The non-empty values of a comma-separated parameter."""
+    return F.filter(F.split(F.coalesce(col(c), F.lit("")), ","), lambda x: x != "")
+
+
+def base_url(c: Column | str) -> Column:
+    """An address without the slashes at its end."""
+    return F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), "/+$", "")
+
+
+def clamped(c: Column | str, low: int, high: int, default: int) -> Column:
+    """A whole number between two bounds; what is no number gives the default."""
+    number = col(c).try_cast("double")
+    return F.when(number.isNull() | F.isnan(number), F.lit(default)).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), F.signum(number) * F.floor(F.abs(number))))).cast("int")
+
+
+def now_iso() -> Column:
+    """The time of the query in ISO form, UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def new_id() -> Column:
+    return F.uuid()
+
+
+def chunk_key(doc: Column | str, index: Column | str) -> Column:
+    return F.concat_ws(":", col(doc).cast("string"), col(index).cast("string"))

@@ -50,3 +50,20 @@ def quantization_advice(rows: Column | str) -> Column:
     """Advice by collection size: none, sq (8 bit) or pq."""
     n = col(rows)
     return F.when(n < 1_000, "none").when(n < 100_000, "sq").otherwise("pq")
+
+
+def product_quantization(rows: Column | str, dim: Column | str, most: int = 16) -> Column:
+    """Advice with its settings: (kind, bits, m): no quantisation, 8-bit scalars, or products of ``m`` parts that divide the dimension."""
+    kind = quantization_advice(rows)
+    bits = F.when(kind != "none", F.lit(8))
+    return F.struct(kind.alias("kind"), bits.alias("bits"), F.when(kind == "pq", largest_divisor(dim, F.lit(most).cast("bigint"))).alias("m"))
+
+
+def encoded(v: Column | str) -> Column:
+    """A vector as JSON."""
+    return F.to_json(col(v))
+
+
+def decoded(c: Column | str) -> Column:
+    """A vector from JSON; null where it is none."""
+    return F.from_json(col(c), "array<double>")

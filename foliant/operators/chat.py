@@ -155,3 +155,64 @@ def resolved_agents(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     first = manifests.orderBy("name", "id").limit(1).select(F.struct(*manifests.columns).alias("_first"))
     joined = requests.withColumnRenamed("agent_id", "_asked").join(named, F.col("_asked") == F.col("agent_id"), "left").crossJoin(F.broadcast(first))
     return joined.select(*[F.col("_asked").alias("asked_id") if c == "agent_id" else F.col(c) for c in requests.columns], *[F.coalesce(f"agent_{c}", f"_first.{c}").alias(f"agent_{c}") for c in manifests.columns])
+
+
+def cited(answers: DataFrame, citations: DataFrame, message: str = "message_id", text: str = "content", pos: str = "pos") -> DataFrame:
+    """(message, place, ref, citation columns): each ``[N]`` of an answer with the first of its citations of that order, or none."""
+    from foliant.functions.text import citation_refs
+
+    order = Window.partitionBy(message, "doc_order").orderBy(pos)
+    first = citations.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", pos)
+    refs = answers.select(message, F.posexplode(citation_refs(text)).alias("place", "ref"))
+    return refs.join(first.withColumnRenamed("doc_order", "ref"), [message, "ref"], "left")
+
+
+def stream_counters(tokens: DataFrame, by: str = "stream_id") -> DataFrame:
+    """(by, packets, chars) of what was sent of each stream."""
+    return tokens.groupBy(by).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.char_length("token")).cast("bigint").alias("chars"))
+
+
+def answer_frames(tokens: DataFrame, ends: DataFrame, by: str = "stream_id", order: str = "pos") -> DataFrame:
+    """(by, seq, frame): the events of each stream in the order of the contract.
+
+    tokens: by, order, token; ends: by, citations (JSON array, null for none), message_id, error (null if all went well), fenced
+    (cleared meanwhile). Tokens come first, then citations and done; after an error, error and done. A stream that
+    failed or was fenced ends with an empty message id.
+    """
+    part = lambda df, stage, at, event, data: df.select(by, F.lit(stage).alias("_s"), at.alias("_o"), frame_of(event, data).alias("frame"))
+    one, failed = F.lit(0).cast("bigint"), F.col("error").isNotNull()
+    last = F.when(failed | F.coalesce("fenced", F.lit(False)), F.lit("")).otherwise(F.coalesce("message_id", F.lit("")))
+    parts = [
+        part(tokens, 0, F.col(order).cast("bigint"), "token", F.to_json(F.struct(F.col("token").alias("text")))),
+        part(ends.filter(~failed), 1, one, "citations", F.coalesce("citations", F.lit("[]"))),
+        part(ends.filter(failed), 1, one, "error", F.to_json(F.struct(F.col("error").alias("detail")))),
+        part(ends, 2, one, "done", F.to_json(F.struct(last.alias("message_id")))),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy("_s", "_o")).cast("bigint")).select(by, "seq", "frame")
+
+
+def frame_of(event: str, data: Column) -> Column:
+    """One server-sent event of text that is JSON already."""
+    return F.concat(F.lit(f"event: {event}\ndata: "), data, F.lit("\n\n"))
+
+
+def message_lists(requests: DataFrame, turns: DataFrame, by: str = "qid", order: str = "seq", templates: dict[str, str] | None = None) -> DataFrame:
+    """(by, messages): the system prompt of each request's mode, then its history (role, content) in order.
+
+    requests: by, mode, context, found (whether sources were found); a model request without sources gets no context.
+    """
+    mode = normalized_mode("mode")
+    kept = F.when((mode == "model") & ~F.coalesce("found", F.lit(False)), F.lit("")).otherwise(F.coalesce("context", F.lit("")))
+    said = turns.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, "role", "content"))).alias("_t"))  # bounded by the history's length
+    system = F.struct(F.lit("system").alias("role"), prompt("mode", kept, templates).alias("content"))
+    rest = F.transform(F.coalesce("_t", F.array().cast(f"array<struct<{order}:{dict(turns.dtypes)[order]},role:string,content:string>>")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return requests.join(said, by, "left").select(by, F.concat(F.array(system), rest).alias("messages"))
+
+
+def agent_card(ident: Column | str, name: Column | str, description: Column | str, tools: Column | str, requires: Column | str) -> Column:
+    """What an agent is told about itself, one line each; lists without entries read ``n/a``."""
+    listed_ = lambda c: F.coalesce(filled(F.array_join(col(c), ", ")), F.lit("n/a"))
+    line = lambda key, v: F.concat(F.lit(f"{key}="), v)
+    plain = lambda c, default="": F.coalesce(col(c), F.lit(default))
+    return F.concat_ws("\n", line("id", plain(ident)), line("name", plain(name, "Assistant")), line("description", plain(description)), line("tools", listed_(tools)), line("requires", listed_(requires)))

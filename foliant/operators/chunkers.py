@@ -142,7 +142,10 @@ def header_level(text: Column, doc_type: str | Column = "technical_manual") -> C
 
 
 def hierarchy(rows: DataFrame, doc_type: str | Column = "technical_manual", size: int | str = 200, least: int | str = 50, doc: str = "doc_id") -> DataFrame:
-    """Sections between recognised headers, prefixed with their breadcrumb; sections over ``size`` tokens in windows."""
+    """Sections between recognised headers, prefixed with their breadcrumb; sections over ``size`` tokens in windows.
+
+    A section's page is that of its first block (null if the blocks have no ``page_number``).
+    """
     order = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.when(F.col("chunk_type") == "header", header_level(F.col("text"), doc_type))
     body = rows.withColumn("_level", level).withColumn("_section", F.count("_level").over(order))
@@ -158,17 +161,17 @@ def hierarchy(rows: DataFrame, doc_type: str | Column = "technical_manual", size
     body = body.withColumn("_crumb", crumb).filter(F.col("_level").isNull())
     sections = body.groupBy(doc, "_section").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("_all"),
-        F.min(F.struct("pos", "_crumb")).alias("_first"),
+        F.min(F.struct("pos", "_crumb", (F.col("page_number") if "page_number" in rows.columns else F.lit(None)).cast("int").alias("_page"))).alias("_first"),
         *carried(size, least),
     )
     head = F.nullif(F.col("_first._crumb"), F.lit(""))
     fits = token_count("_all") <= F.greatest(F.lit(1), number(size))
     pieces = F.when(fits, F.array("_all")).otherwise(token_windows(F.col("_all"), number(size), number(least)))
-    chunks = sections.select(doc, "_section", head.alias("section_header"), F.posexplode(pieces).alias("_sub", "_text"))
+    chunks = sections.select(doc, "_section", head.alias("section_header"), F.col("_first._page").alias("page_number"), F.posexplode(pieces).alias("_sub", "_text"))
     at = Window.partitionBy(doc).orderBy("_section", "_sub")
     # With a breadcrumb the whole is stripped; without one the section stays as it is.
     text = F.when(F.col("section_header").isNotNull(), strip(F.concat_ws("\n\n", "section_header", "_text"))).otherwise(F.col("_text"))
-    return chunks.select(doc, (F.row_number().over(at).cast("bigint") - 1).alias("chunk_index"), "section_header", text.alias("chunk_text"))
+    return chunks.select(doc, (F.row_number().over(at).cast("bigint") - 1).alias("chunk_index"), "section_header", "page_number", text.alias("chunk_text"))
 
 
 def whole_text(rows: DataFrame, doc: str = "doc_id", *config: int | str) -> DataFrame:

@@ -31,6 +31,72 @@ def hashed_client(dim: int = 64) -> Client:
     return run
 
 
+#: Where embeddings are asked for, by kind of provider: path and shape of the request.
+TARGETS = {"openai": [("/v1/embeddings", "openai")], "ollama": [("/embed", "native"), ("/embeddings", "legacy"), ("/v1/embeddings", "openai")]}
+
+
+def targets(base: str, provider: str = "ollama", endpoint: str | None = None) -> list[tuple[str, str]]:
+    """(address, shape) of the endpoints to try, in order; an endpoint of its own is the only one."""
+    base = base.rstrip("/")
+    if endpoint:
+        return [(f"{base}/{endpoint.lstrip('/')}", "native")]
+    if (provider or "ollama").lower() == "openai":
+        return [(base + path, shape) for path, shape in TARGETS["openai"]]
+    api = base if base.endswith("/api") else f"{base}/api"
+    return [((base if path.startswith("/v1") else api) + path, shape) for path, shape in TARGETS["ollama"]]
+
+
+class ModelMissing(RuntimeError):
+    """No server has the model."""
+
+
+def vectors_of(response: dict, size: int, dim: int) -> list[list[float]]:
+    """``size`` vectors of a response in any of the three shapes; what isn't there is a zero vector."""
+    zero = [0.0] * dim
+    if isinstance(response.get("embeddings"), list):
+        found = [v if isinstance(v, list) and v else zero for v in response["embeddings"]]
+    elif isinstance(response.get("data"), list):
+        found = [v["embedding"] if isinstance(v, dict) and isinstance(v.get("embedding"), list) else zero for v in response["data"]]
+    else:
+        found = [response["embedding"]] if isinstance(response.get("embedding"), list) else []
+    return (found + [zero] * size)[:size]
+
+
+def chained_client(post: Callable[[str, dict], dict], addresses: list[tuple[str, str]], models: list[str], dim: int) -> Client:
+    """A client that tries each model at each address, through ``post(address, payload)``.
+
+    What worked is tried first from then on. If nothing answers, the texts have no vector; once a model was
+    missing everywhere, nothing is asked any more.
+    """
+    memory: dict = {"first": None, "off": False}
+
+    def ask(address: str, shape: str, model: str, texts: list[str]) -> list[list[float] | None]:
+        if shape == "legacy":
+            return [vectors_of(post(address, {"model": model, "prompt": t}), 1, dim)[0] for t in texts]
+        return vectors_of(post(address, {"model": model, "input": texts}), len(texts), dim)
+
+    def run(texts: list[str]) -> list[list[float] | None]:
+        if memory["off"]:
+            return [None] * len(texts)
+        every = [(m, a, s) for m in models if m for a, s in addresses]
+        order = [memory["first"], *[x for x in every if x != memory["first"]]] if memory["first"] else every
+        missing = bool(order)
+        for model, address, shape in order:
+            try:
+                found = ask(address, shape, model, texts)
+            except ModelMissing:
+                continue
+            except Exception:  # noqa: BLE001 - any failure of a remote client
+                missing = False
+                continue
+            memory["first"] = (model, address, shape)
+            return found
+        memory["off"] = missing
+        return [None] * len(texts)
+
+    return run
+
+
 def embedded_text(text: Column | str = "chunk_text", own: Column | str = "embedding_text") -> Column:
     return F.coalesce(filled(own), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
@@ -64,3 +130,32 @@ def embed(chunks: DataFrame, client: Client, dim: int = 64, key: str = "chunk_se
 
     kind = dict(chunks.dtypes)[key]
     return chunks.select(key, embedded_text()).mapInArrow(run, f"{key} {kind}, embedding array<float>, failed boolean")
+
+
+#: What a chat connector gets of a request and what it gives: its tokens.
+Answerer = Callable[[str, str, list[dict[str, str]]], Iterator[str]]
+
+
+def answer(requests: DataFrame, connector: Answerer, key: str = "qid") -> DataFrame:
+    """(key, pos, token, error): the tokens of each request's answer in order, by a pluggable connector.
+
+    requests: key, provider, model, messages (role, content). A connector that fails ends its request
+    with a row that has the error and no token; an empty answer gives no row. One Arrow map; requests don't wait for each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, provider, model, messages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = 0
+                try:
+                    for n, token in enumerate(connector(provider or "ollama", model or "", messages or []), 1):  # noqa: B007
+                        out.append((k, n - 1, token, None))
+                except Exception as error:  # noqa: BLE001 - any failure of a remote model
+                    out.append((k, n, None, str(error)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "pos", "token", "error"])
+
+    kind = dict(requests.dtypes)[key]
+    return requests.select(key, "provider", "model", "messages").mapInArrow(run, f"{key} {kind}, pos bigint, token string, error string")

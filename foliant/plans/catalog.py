@@ -130,7 +130,7 @@ parts AS (SELECT doc_id, sec, crumb, i, ps[i] AS t FROM pieces, unnest(range(1,
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, i) - 1 AS chunk_index, crumb AS section_header, CASE WHEN crumb IS NULL THEN t ELSE {STRIP.format("concat_ws(chr(10) || chr(10), crumb, t)")} END AS chunk_text FROM parts"""
 )
 def chunk_hierarchy(spark, d):
-    return chunkers.hierarchy(_blocks(spark, d), "technical_manual", SIZE, LEAST)
+    return chunkers.hierarchy(_blocks(spark, d), "technical_manual", SIZE, LEAST).drop("page_number")
 
 
 WHOLE = "whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE chunk_type <> 'header' GROUP BY 1)"
@@ -172,7 +172,43 @@ def chunk_table_pack(spark, d):
     return rows.select("chunk_id", F.posexplode(chunkers.packed_table(F.col("chunk_text"), F.lit(40))).alias("piece", "piece_text")).withColumn("piece", F.col("piece").cast("bigint"))
 
 
-@query()
+PER = """per AS (SELECT notebook_id, min(chunking_method) AS m, min(doc_type) AS doc_type, min(chunk_size) AS size, min(min_chunk_size) AS least, min(context_window) AS cw, min(parent_chunk_size) AS ps, min(child_chunk_size) AS cs, min(symbol_separator) AS sep FROM parsing_settings GROUP BY 1),
+conf AS (SELECT doc_id, lower(trim(coalesce(m, 'general'))) AS method, coalesce(doc_type, 'technical_manual') AS doc_type, coalesce(size, 200) AS size, coalesce(least, 50) AS least, coalesce(cw, 128) AS cw, coalesce(ps, 800) AS ps, coalesce(cs, 96) AS cs, coalesce(nullif(sep, ''), '---chunk---') AS sep FROM documents LEFT JOIN per ON source = notebook_id)"""
+LEVEL_SQL = "CASE " + " ".join(
+    f"WHEN doc_type = '{kind}' THEN CASE " + " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN {level}" for level, pattern in rules) + " END"
+    for kind, rules in {**chunkers.LEVELS, "technical_manual": [(n, p.replace("^(?i)(?:", "(?i)^(?:")) for n, p in chunkers.LEVELS["technical_manual"]]}.items()
+) + " END"
+
+
+@query(
+    rf"""WITH {BLOCKS}, {PER},
+typed AS (SELECT b.*, CASE WHEN method IN ('context_enrichment', 'hierarchy', 'pcr', 'symbol') THEN method ELSE 'general' END AS method, CASE WHEN doc_type IN ('gost', 'technical_manual', 'api_docs', 'markdown') THEN doc_type ELSE 'technical_manual' END AS doc_type, size, least, cw, ps, cs, sep FROM blocks b JOIN conf USING (doc_id)),
+attached AS (SELECT *, CASE WHEN lag(chunk_type) OVER w = 'header' THEN lag(text) OVER w END AS b FROM typed WHERE method IN ('general', 'context_enrichment') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+bodies AS (SELECT *, coalesce(b, section_header) AS head, {WORDS.format("concat_ws(chr(10), b, text)")} AS w FROM attached WHERE chunk_type <> 'header'),
+pieces AS (SELECT doc_id, pos, head, method, cw, {windows_sql('w', 'greatest(1, size)', 'least')} AS xs FROM bodies),
+flat AS (SELECT doc_id, pos, head, method, cw, i AS sub, xs[i] AS t FROM pieces, unnest(range(1, len(xs) + 1)) AS u(i)),
+near AS (SELECT *, row_number() OVER d - 1 AS idx, lag(t) OVER d AS p, lead(t) OVER d AS n FROM flat WINDOW d AS (PARTITION BY doc_id ORDER BY pos, sub)),
+windows AS (SELECT doc_id, idx, t, head, method, list_filter([CASE WHEN cw > 0 THEN p[greatest(1, length(p) - cw + 1):length(p)] END, t, CASE WHEN cw > 0 THEN n[1:cw] END], lambda x: x IS NOT NULL AND x <> '') AS xs FROM near),
+whole AS (SELECT doc_id, method, any_value(ps) AS ps, any_value(cs) AS cs, any_value(sep) AS sep, string_agg(text, chr(10) ORDER BY pos) AS text FROM typed WHERE method IN ('pcr', 'symbol') AND chunk_type <> 'header' GROUP BY ALL),
+pw AS (SELECT doc_id, ps, cs, {WORDS.format('text')} AS w FROM whole WHERE method = 'pcr'),
+parents AS (SELECT doc_id, cs, i AS p, w[i * ps + 1 : i * ps + ps] AS pw FROM pw, unnest(range(0, (len(w) + ps - 1) // ps)) AS u(i)),
+children AS (SELECT doc_id, p, i AS c, array_to_string(pw, ' ') AS t, array_to_string(pw[i * cs + 1 : i * cs + cs], ' ') AS e FROM parents, unnest(range(0, (len(pw) + cs - 1) // cs)) AS u(i)),
+signs AS (SELECT doc_id, list_filter(list_transform(string_split(text, sep), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS xs FROM whole WHERE method = 'symbol'),
+levelled AS (SELECT *, CASE WHEN chunk_type = 'header' THEN {LEVEL_SQL} END AS lv FROM typed WHERE method = 'hierarchy'),
+marks AS (SELECT *, count(lv) OVER w AS sec,
+ last_value(CASE WHEN lv = 1 THEN text END IGNORE NULLS) OVER w AS t1, coalesce(max(CASE WHEN lv = 1 THEN pos END) OVER w, -1) AS p1, last_value(CASE WHEN lv = 2 THEN text END IGNORE NULLS) OVER w AS t2, coalesce(max(CASE WHEN lv = 2 THEN pos END) OVER w, -1) AS p2,
+ last_value(CASE WHEN lv = 3 THEN text END IGNORE NULLS) OVER w AS t3, coalesce(max(CASE WHEN lv = 3 THEN pos END) OVER w, -1) AS p3, last_value(CASE WHEN lv = 4 THEN text END IGNORE NULLS) OVER w AS t4, coalesce(max(CASE WHEN lv = 4 THEN pos END) OVER w, -1) AS p4
+ FROM levelled WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+crumbs AS (SELECT doc_id, sec, pos, text, size, least, nullif(concat_ws(' > ', t1, CASE WHEN p2 > p1 THEN t2 END, CASE WHEN p3 > greatest(p1, p2) THEN t3 END, CASE WHEN p4 > greatest(p1, p2, p3) THEN t4 END), '') AS crumb FROM marks WHERE lv IS NULL),
+sections AS (SELECT doc_id, sec, any_value(crumb) AS crumb, any_value(size) AS size, any_value(least) AS least, string_agg(text, chr(10) ORDER BY pos) AS body FROM crumbs GROUP BY 1, 2),
+cut AS (SELECT *, {WORDS.format('body')} AS w FROM sections),
+parted AS (SELECT doc_id, sec, crumb, CASE WHEN (CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, floor(len(w) * 1.3::DOUBLE)) END) <= greatest(1, size) THEN [body] ELSE {windows_sql('w', 'greatest(1, size)', 'least')} END AS xs FROM cut),
+leaves AS (SELECT doc_id, sec, crumb, i, xs[i] AS t FROM parted, unnest(range(1, len(xs) + 1)) AS u(i))
+SELECT doc_id, idx AS chunk_index, t AS chunk_text, head AS section_header, CASE WHEN method = 'context_enrichment' AND len(xs) > 1 THEN array_to_string(xs, ' ') END AS embedding_text, method FROM windows
+UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, c) - 1, t, 'Блок ' || (p + 1), e, 'pcr' FROM children
+UNION ALL SELECT doc_id, i - 1, xs[i], NULL, NULL, 'symbol' FROM signs, unnest(range(1, len(xs) + 1)) AS u(i)
+UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, i) - 1, CASE WHEN crumb IS NULL THEN t ELSE {STRIP.format("concat_ws(chr(10) || chr(10), crumb, t)")} END, crumb, NULL, 'hierarchy' FROM leaves"""
+)
 def chunk_by_settings(spark, d):
     return chunkers.chunk_by_settings(table(spark, d, "documents"), table(spark, d, "parsing_settings"))
 
@@ -423,10 +459,10 @@ def rag_context(spark, d):
     return chat.context(_hybrid(spark, d).join(order, "source_id", "left"))
 
 
-@query(r"SELECT chunk_seq, list_transform(regexp_extract_all(coalesce(chunk_text, ''), '\[(\d{1,9})\]', 1), lambda x: x::BIGINT) AS refs FROM chunks WHERE regexp_matches(chunk_text, '\[\d{1,9}\]')")
+@query(r"SELECT chunk_seq, array_to_string(list_transform(regexp_extract_all(coalesce(chunk_text, ''), '\[(\d+)\]', 1), lambda x: x::HUGEINT::VARCHAR), ',') AS refs FROM chunks WHERE regexp_matches(chunk_text, '\[\d+\]')")
 def citation_refs(spark, d):
     rows = table(spark, d, "chunks").select("chunk_seq", T.citation_refs("chunk_text").alias("refs"))
-    return rows.filter(F.size("refs") > 0)
+    return rows.filter(F.size("refs") > 0).select("chunk_seq", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))
 
 
 @query("SELECT chunk_seq, c.doc_id, c.is_enabled AND d.is_enabled AS searchable FROM chunks c JOIN documents d USING (doc_id) WHERE c.is_enabled AND d.is_enabled")
@@ -590,11 +626,20 @@ def content_hash(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN n = 0 THEN filename ELSE regexp_replace(filename, '(.)\.[^.]+$', '\1') || '_' || n || regexp_extract(filename, '.(\.[^.]+)$', 1) END AS stored_name
-FROM (SELECT *, row_number() OVER (PARTITION BY source, filename ORDER BY doc_id) - 1 AS n FROM documents WHERE filename IS NOT NULL)"""
+    r"""WITH RECURSIVE f AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(filename, '(.)\.[^.]+$', '\1') || '_1' || regexp_extract(filename, '.(\.[^.]+)$', 1) ELSE filename END AS name FROM documents WHERE filename IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM f),
+step(source, k, doc_id, name, stored, taken) AS (
+ SELECT source, k, doc_id, name, name, [name] FROM o WHERE k = 1
+ UNION ALL
+ SELECT source, k, doc_id, name, s, list_append(taken, s) FROM (SELECT o.source, o.k, o.doc_id, o.name, taken, CASE WHEN NOT list_contains(taken, o.name) THEN o.name ELSE
+   list_filter(list_transform(range(1, len(taken) + 2), lambda n: regexp_replace(o.name, '(.)\.[^.]+$', '\1') || '_' || n || regexp_extract(o.name, '.(\.[^.]+)$', 1)), lambda x: NOT list_contains(taken, x))[1] END AS s
+  FROM step JOIN o ON o.source IS NOT DISTINCT FROM step.source AND o.k = step.k + 1))
+SELECT doc_id, stored AS stored_name FROM step"""
 )
 def name_conflicts(spark, d):
-    return state.free_names(table(spark, d, "documents").filter("filename IS NOT NULL"), "source", "filename", "doc_id").select("doc_id", "stored_name")
+    numbered = F.concat(F.regexp_replace("filename", r"(.)\.[^.]+$", "$1"), F.lit("_1"), F.regexp_extract("filename", r".(\.[^.]+)$", 1))
+    docs = table(spark, d, "documents").filter("filename IS NOT NULL").select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, numbered).otherwise(F.col("filename")).alias("filename"))
+    return state.free_names(docs, "source", "filename", "doc_id").select("doc_id", "stored_name")
 
 
 @query(

@@ -7,6 +7,7 @@ the standard library alone; a file that can't be read gives its placeholder.
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -148,13 +149,23 @@ def write_parsed(documents: DataFrame, chunks: DataFrame, path: str) -> None:
     documents.join(chunks.groupBy("doc_id").agg(ordered.alias("chunks")), "doc_id", "left").write.mode("overwrite").json(path)
 
 
-def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of parsed documents, from objects with ``chunks`` or from bare lists, one document a line or file."""
-    raw = spark.read.text(path, wholetext=False).withColumn("_file", F.input_file_name())
-    whole = F.from_json("value", f"struct<doc_id: string, chunks: array<{CHUNK}>>")
-    bare = F.from_json("value", f"array<{CHUNK}>")
-    listed = F.col("value").rlike(r"^\s*\[")
-    rows = raw.select(F.coalesce(whole["doc_id"], basename("_file")).alias("doc_id"), F.when(listed, bare).otherwise(whole["chunks"]).alias("chunks"))
+def read_parsed(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Chunks of parsed documents, from objects with ``chunks`` or from bare lists, one document a file or one a line.
+
+    A file that is one JSON value, indented or not, is one document; else each of its lines is. Files of a
+    document each are read whole; ``by_line`` is for the large ones of ``write_parsed``, which can be split.
+    """
+    raw = spark.read.text(path, wholetext=not by_line).withColumn("_file", F.input_file_name())
+    shape = f"struct<doc_id: string, chunks: array<{CHUNK}>>"
+    bare = f"array<{CHUNK}>"
+    # Inside one value a bracket that closes is never followed by one that opens on the next line, without a comma.
+    value = F.trim("value")
+    one = ~value.rlike(r"[}\]]\s*[\r\n]+\s*[{\[]")
+    lines = F.filter(F.split(value, r"[\r\n]+"), lambda x: F.trim(x) != "")
+    rows = raw.select("_file", F.posexplode(F.when(one, F.array(value)).otherwise(lines)).alias("_line", "_json"))
+    whole, listed_ = F.from_json("_json", shape), F.from_json("_json", bare)
+    is_list = F.col("_json").rlike(r"^\s*\[")
+    rows = rows.select(F.coalesce(F.when(~is_list, whole["doc_id"]), basename("_file")).alias("doc_id"), F.when(is_list, listed_).otherwise(whole["chunks"]).alias("chunks"))
     return rows.select("doc_id", F.posexplode("chunks").alias("_pos", "c")).select("doc_id", F.coalesce("c.chunk_index", "_pos").alias("chunk_index"), "c.text", "c.chunk_type", "c.page_number", "c.section_header")
 
 
@@ -222,15 +233,20 @@ def discovered_agents(spark: SparkSession, folder: str) -> DataFrame:
 
 def agents(spark: SparkSession, folder: str) -> DataFrame:
     """The registry's agents, or those found in the folders where there is no registry or an empty one."""
-    try:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/registry.json")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         listed = agent_registry(spark, f"{folder}/registry.json")
         if not listed.isEmpty():
             return listed
-    except Exception:  # noqa: BLE001 - no registry file
-        pass
     return discovered_agents(spark, folder).drop("path")
 
 
+def first_folder(candidates: list[str | None]) -> str | None:
+    """The first of the candidates that is a folder; the last one named if none is."""
+    named = [c for c in candidates if c]
+    return next((c for c in named if os.path.isdir(c)), named[-1] if named else None)
+
+
 def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, path): files by their subfolder, dot files left out."""
     rows = binary_files(spark, folder).select("path")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliant.plans import catalog
+from foliant.plans import catalog, lifecycle
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -36,10 +36,14 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+QUERIES = catalog.queries() | lifecycle.queries()
+SQL = catalog.oracle_sql() | lifecycle.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got = rows(catalog.queries()[name](spark, DATA).toPandas())
-    assert got == rows(duck.execute(catalog.oracle_sql()[name]).df())
+    got = rows(QUERIES[name](spark, DATA).toPandas())
+    assert got == rows(duck.execute(SQL[name]).df())
 
 
 def test_chunk_by_settings_covers_every_document_with_text(spark):
