@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import basename, filled
+from foliant.operators import fulltext
+from foliant.session import cut
 
 RRF_K = 60
 # Least normalised score of each chat mode; other modes have none.
@@ -160,6 +162,25 @@ def citation_columns() -> list[Column]:
     ]
 
 
+def text_hits(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], rows: DataFrame, k: int, group: str = "notebook_id", key: str = "chunk_seq") -> DataFrame:
+    """(qid, key, rank, stage): the text hits of a batch of questions among ``rows`` (searchable chunks: group, key, chunk_text).
+
+    A question that is no query of the grammar finds nothing. One without a full-text hit is searched as substrings, one
+    without such a hit gets the newest rows of its group; only those questions take part in these stages. ``index`` covers all chunks, for its statistics.
+    """
+    order = [F.desc("score"), F.asc(key)]
+    asked = cut(fulltext.plans(queries.select("qid", group, F.col("query").alias("_q"), "query")).withColumnRenamed("_q", "query"))
+    keys = rows.select(key)
+    found = fulltext.answered(asked.drop("query"), *index, group, key).join(keys, key, "left_semi")
+    first = cut(best(found, k, ["qid"], order).select("qid", key, "rank", F.lit(0).alias("stage")))
+    open_ = asked.filter(F.col("ok") & (F.size(F.split(F.trim("query"), r"\s+")) > 0)).select("qid", group, "query").join(first.select("qid").distinct(), "qid", "left_anti")
+    second = cut(best(fulltext.like_hits(open_, index[0], rows, group, key), k, ["qid"], [F.asc(key)]).select("qid", key, "rank", F.lit(1).alias("stage")))
+    rest = open_.join(second.select("qid").distinct(), "qid", "left_anti")
+    newest = best(rows.select(group, key).join(rest.select(group).distinct(), group, "left_semi"), k, [group], [F.desc(key)])
+    third = rest.select("qid", group).join(newest, group).select("qid", key, "rank", F.lit(2).alias("stage"))
+    return first.unionByName(second).unionByName(third)
+
+
 def fallback_chain(queries: DataFrame, text_hits: DataFrame, like_hits: DataFrame, rows: DataFrame, k: int, group: str = "notebook_id", key: str = "chunk_seq") -> DataFrame:
     """(qid, key, stage): full-text hits; for queries without any the substring hits; else the newest rows of the group."""
     first = text_hits.select("qid", key, "rank", F.lit(0).alias("stage"))

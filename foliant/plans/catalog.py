@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators import chat, chunkers, fulltext, retrieval, state
-from foliant.session import table
+from foliant.session import cut, table
 from foliant.sources import files
 from foliant.streaming import events as E
 
@@ -237,10 +237,12 @@ ONE = "once AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NO
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Each chunk once, the delivery of the smallest row id."""
+    """Each chunk once, the delivery of the smallest row id; only chunks delivered several times are sorted."""
     rows = table(spark, d, "chunks").filter(F.col("chunk_id").isNotNull())
-    order = Window.partitionBy("chunk_id").orderBy("chunk_seq")
-    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    several = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("chunk_id")
+    first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("chunk_seq"))
+    again = rows.join(several, "chunk_id", "left_semi").withColumn("_r", first).filter("_r = 1").drop("_r")
+    return rows.join(several, "chunk_id", "left_anti").unionByName(again)
 
 
 POST = f"""{ONE}, tok AS (SELECT notebook_id, chunk_seq, {TOKENS.format('chunk_text')} AS ts FROM once WHERE notebook_id IS NOT NULL),
@@ -302,8 +304,8 @@ LIKE = r"list_filter(string_split_regex(translate(query, 'ABCDEFGHIJKLMNOPQRSTUV
 
 @query(f"WITH {ONE}, {HEADINGS} SELECT DISTINCT qid, chunk_seq FROM (SELECT qid, notebook_id, unnest({LIKE}) AS t FROM asked) JOIN once USING (notebook_id) WHERE contains(translate(chunk_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t)")
 def like_fallback(spark, d):
-    chunks = _chunks(spark, d)
-    return _headings(chunks).join(chunks.select("notebook_id", "chunk_seq", "chunk_text"), "notebook_id").filter(fulltext.like_any("chunk_text", F.col("query"))).select("qid", "chunk_seq")
+    chunks = _chunks(spark, d).filter("notebook_id IS NOT NULL")
+    return fulltext.like_hits(_headings(chunks), _index(chunks)[0], chunks)
 
 
 ENABLED = f"{ONE}, enabled AS (SELECT c.*, d.filename, d.filepath, d.source AS d_source FROM once c JOIN documents d USING (doc_id) WHERE c.is_enabled AND d.is_enabled)"
@@ -315,25 +317,57 @@ def newest_fallback(spark, d):
     return retrieval.best(rows, 15, ["notebook_id"], [F.desc("chunk_seq")]).select("notebook_id", "chunk_seq", "rank")
 
 
+# Questions in every form: as they are, as a phrase, with OR, no query at all, words nobody has beside one that is there, words nobody has.
+FORMS = """forms AS (SELECT *, CASE abs(k) % 7 WHEN 0 THEN query || '?' WHEN 1 THEN '"' || query || '"' WHEN 2 THEN 'qqzz ' || lower(string_split(query, ' ')[1]) WHEN 3 THEN 'qqzz' WHEN 4 THEN replace(query, ' ', ' OR ') ELSE query END AS said,
+ CASE abs(k) % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'phrase' WHEN 2 THEN 'like' WHEN 3 THEN 'new' WHEN 4 THEN 'or' ELSE 'and' END AS kind FROM plain WHERE regexp_full_match(query, '[A-Za-zÀ-ÿ ]+') AND NOT regexp_matches(query, '(^| )(AND|OR|NOT|NEAR)( |$)'))"""
+FOUND = f"""strung AS (SELECT notebook_id, chunk_seq, len(ts) AS len, ' ' || array_to_string(ts, '  ') || ' ' AS s FROM tok),
+phrases AS (SELECT qid, notebook_id, kind, need, unnest(ps) AS p FROM (SELECT *, len(ps) AS need FROM (SELECT *, CASE WHEN kind = 'phrase' THEN [' ' || array_to_string(ws, '  ') || ' '] ELSE list_transform(ws, lambda x: ' ' || x || ' ') END AS ps FROM (SELECT *, {TOKENS.format('query')} AS ws FROM forms WHERE kind IN ('and', 'or', 'phrase'))))),
+met AS (SELECT p.notebook_id, p, chunk_seq, len, (length(s) - length(replace(s, p, ''))) / length(p) AS f FROM (SELECT DISTINCT notebook_id, p FROM phrases) p JOIN strung c ON c.notebook_id = p.notebook_id AND contains(s, p)),
+often AS (SELECT notebook_id, p, count(*) AS df FROM met GROUP BY ALL),
+points AS (SELECT qid, notebook_id, kind, need, chunk_seq, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2::DOUBLE * (0.25 + 0.75 * len / avgdl)) AS part
+ FROM phrases JOIN met USING (notebook_id, p) JOIN often USING (notebook_id, p) JOIN stats USING (notebook_id)),
+found AS (SELECT qid, chunk_seq, round(sum(part), 9) AS score FROM points GROUP BY qid, kind, chunk_seq HAVING any_value(kind) = 'or' OR count(*) = any_value(need)),
+f0 AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_seq) AS rank FROM found SEMI JOIN ok USING (chunk_seq)),
+open1 AS (SELECT * FROM forms WHERE kind <> 'none' AND qid NOT IN (SELECT qid FROM f0)),
+l1 AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY chunk_seq) AS rank FROM (SELECT DISTINCT qid, chunk_seq FROM (SELECT qid, notebook_id, unnest(string_split(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ')) AS t FROM open1) JOIN once USING (notebook_id) SEMI JOIN ok USING (chunk_seq) WHERE t <> '' AND contains(translate(chunk_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t))),
+n2 AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY chunk_seq DESC) AS rank FROM open1 JOIN once USING (notebook_id) SEMI JOIN ok USING (chunk_seq) WHERE qid NOT IN (SELECT qid FROM l1)),
+texthits AS (SELECT *, 0 AS stage FROM f0 WHERE rank <= 15 UNION ALL SELECT *, 1 FROM l1 WHERE rank <= 15 UNION ALL SELECT *, 2 FROM n2 WHERE rank <= 15)"""
+#: Chunks that may be found: enabled ones of enabled documents without a disabled tag (here: a file type).
+BARRED = r"coalesce(regexp_matches(lower(d.filename), '\.docx$'), false)"
+OK = f"ok AS (SELECT c.chunk_seq FROM once c JOIN documents d USING (doc_id) WHERE c.is_enabled AND d.is_enabled AND NOT {BARRED})"
+
+
+def _forms(rows: DataFrame, k: str) -> DataFrame:
+    """(qid, group, query) in the forms of FORMS."""
+    plain = r"^[A-Za-zÀ-ÿ ]+$"
+    rows = rows.filter(F.col("query").rlike(plain) & ~F.col("query").rlike(r"(^| )(AND|OR|NOT|NEAR)( |$)"))
+    form, q = F.abs(F.expr(k)) % 7, F.col("query")
+    first = F.lower(F.get(F.split(q, " "), F.lit(0)))
+    said = F.when(form == 0, F.concat(q, F.lit("?"))).when(form == 1, F.concat(F.lit('"'), q, F.lit('"'))).when(form == 2, F.concat(F.lit("qqzz "), first))
+    return rows.withColumn("query", said.when(form == 3, "qqzz").when(form == 4, F.replace(q, F.lit(" "), F.lit(" OR "))).otherwise(q))
+
+
+def _index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored index of the chunks, from one scan of their texts."""
+    return fulltext.index_of(cut(fulltext.token_rows(chunks.filter("notebook_id IS NOT NULL"), ["notebook_id", "chunk_seq"], "chunk_text")))
+
+
+def _found(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """Searchable chunks with their documents' columns."""
+    docs = table(spark, d, "documents")
+    tags = docs.select("doc_id", F.regexp_extract(F.lower("filename"), r"\.([^.]+)$", 1).alias("tag"))
+    return retrieval.searchable(chunks, docs, None, spark.createDataFrame([("docx",)], "tag string"), tags)
+
+
 @query(
-    f"""WITH {POST}, {HEADINGS}, {BM25},
-odd AS (SELECT qid || '+' AS qid, notebook_id, query || CASE WHEN length(query) % 2 = 0 THEN ' zzzz' ELSE '' END AS query FROM asked),
-both_ AS (SELECT qid, notebook_id, query FROM odd),
-hits AS (SELECT o.qid, s.chunk_seq, s.score FROM odd o JOIN asked a ON o.qid = a.qid || '+' AND o.query = a.query JOIN scored s ON s.qid = a.qid),
-f AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_seq) AS rank FROM hits),
-lk AS (SELECT DISTINCT qid, chunk_seq FROM (SELECT qid, notebook_id, unnest({LIKE}) AS t FROM both_) JOIN once USING (notebook_id) WHERE contains(translate(chunk_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t)),
-l AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY chunk_seq) AS rank FROM lk),
-nw AS (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY chunk_seq DESC) AS rank FROM both_ JOIN once USING (notebook_id)),
-every_ AS (SELECT *, 0 AS stage FROM f WHERE rank <= 15 UNION ALL SELECT *, 1 FROM l WHERE rank <= 15 UNION ALL SELECT *, 2 FROM nw WHERE rank <= 15)
-SELECT qid, chunk_seq, rank, stage FROM (SELECT *, min(stage) OVER (PARTITION BY qid) AS m FROM every_) WHERE stage = m"""
+    f"""WITH {POST}, {OK}, plain AS (SELECT min(chunk_seq) AS k, notebook_id || '/' || section_header AS qid, notebook_id, section_header AS query FROM once WHERE section_header <> '' AND notebook_id IS NOT NULL GROUP BY ALL), {FORMS}, {FOUND}
+SELECT qid, chunk_seq, rank, stage FROM texthits"""
 )
 def fallback_chain(spark, d):
     chunks = _chunks(spark, d).filter("notebook_id IS NOT NULL")
-    asked = _headings(chunks).select(F.concat("qid", F.lit("+")).alias("qid"), "notebook_id", F.when(F.char_length("query") % 2 == 0, F.concat("query", F.lit(" zzzz"))).otherwise(F.col("query")).alias("query"))
-    order = [F.desc("score"), F.asc("chunk_seq")]
-    hits = retrieval.best(fulltext.search(asked, chunks), 15, ["qid"], order)
-    like = asked.join(chunks.select("notebook_id", "chunk_seq", "chunk_text"), "notebook_id").filter(fulltext.like_any("chunk_text", F.col("query"))).select("qid", "chunk_seq")
-    return retrieval.fallback_chain(asked, hits, like, chunks, 15).select("qid", "chunk_seq", "rank", "stage")
+    asked = chunks.filter("section_header <> ''").groupBy("notebook_id", "section_header").agg(F.min("chunk_seq").alias("k"))
+    asked = asked.select(F.concat_ws("/", "notebook_id", "section_header").alias("qid"), "notebook_id", F.col("section_header").alias("query"), "k")
+    return retrieval.text_hits(_forms(asked, "k").drop("k"), _index(chunks), _found(spark, d, chunks), 15).select("qid", "chunk_seq", "rank", "stage")
 
 
 VEC = """v AS (SELECT e.chunk_rowid, any_value(c.notebook_id) AS notebook_id, any_value(e.embedding::DOUBLE[]) AS v FROM chunk_embeddings e JOIN chunks c ON c.chunk_seq = e.chunk_rowid WHERE e.embedding IS NOT NULL GROUP BY 1),
@@ -379,33 +413,37 @@ def failed_embeddings(spark, d):
 
 
 # Hybrid queries: every chunk of a row id divisible by 20 that has a section header and a vector asks for its header's words and its vector.
-HYBRID = f"""{POST}, asked AS (SELECT c.chunk_seq AS qid, c.notebook_id, c.section_header AS query FROM once c JOIN v ON v.chunk_rowid = c.chunk_seq WHERE c.chunk_seq % 20 = 0 AND c.section_header <> ''), {BM25},
-ok AS (SELECT c.chunk_seq FROM once c JOIN documents d USING (doc_id) WHERE c.is_enabled AND d.is_enabled),
-fr AS (SELECT * FROM (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_seq) AS fts_rank FROM scored SEMI JOIN ok USING (chunk_seq)) WHERE fts_rank <= 15),
-vp AS (SELECT q.qid, b.chunk_rowid AS chunk_seq, round(coalesce({DOT}, 0) / (a.len * b.len), 9) AS score FROM asked q JOIN n a ON a.chunk_rowid = q.qid JOIN n b ON b.notebook_id = q.notebook_id SEMI JOIN ok ON ok.chunk_seq = b.chunk_rowid),
+HYBRID = f"""{POST}, {OK}, plain AS (SELECT c.chunk_seq AS qid, c.chunk_seq // 20 AS k, c.notebook_id, c.section_header AS query FROM once c JOIN v ON v.chunk_rowid = c.chunk_seq WHERE c.chunk_seq % 20 = 0 AND c.section_header <> '' AND c.notebook_id IS NOT NULL), {FORMS}, {FOUND},
+fr AS (SELECT qid, chunk_seq, rank AS fts_rank FROM texthits),
+vp AS (SELECT q.qid, b.chunk_rowid AS chunk_seq, round(coalesce({DOT}, 0) / (a.len * b.len), 9) AS score FROM forms q JOIN n a ON a.chunk_rowid = q.qid JOIN n b ON b.notebook_id = q.notebook_id SEMI JOIN ok ON ok.chunk_seq = b.chunk_rowid),
 vr AS (SELECT * FROM (SELECT qid, chunk_seq, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_seq) AS vec_rank FROM vp) WHERE vec_rank <= 15),
-fused AS (SELECT qid, chunk_seq, vec_rank, fts_rank, round(coalesce(1 / (60 + vec_rank)::DOUBLE, 0) + coalesce(1 / (60 + fts_rank)::DOUBLE, 0), 12) AS rrf FROM vr FULL JOIN fr USING (qid, chunk_seq)),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vec_rank NULLS LAST, fts_rank NULLS LAST, chunk_seq) AS rank FROM fused) WHERE rank <= 5),
-normed AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY qid), 9) AS score FROM top)"""
+fused AS (SELECT qid, chunk_seq, vec_rank, fts_rank, round(coalesce(1 / (60 + vec_rank)::DOUBLE, 0) + coalesce(1 / (60 + fts_rank)::DOUBLE, 0), 12) AS rrf0, max(vec_rank IS NOT NULL) OVER (PARTITION BY qid) AS hasv FROM vr FULL JOIN fr USING (qid, chunk_seq)),
+top AS (SELECT *, CASE WHEN hasv THEN rrf0 ELSE 0 END AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN hasv THEN rrf0 ELSE 0 END DESC, vec_rank NULLS LAST, fts_rank NULLS LAST, chunk_seq) AS rank FROM fused) WHERE rank <= 5),
+normed AS (SELECT *, CASE WHEN max(rrf) OVER (PARTITION BY qid) <= 0 THEN 1.0 ELSE round(rrf / max(rrf) OVER (PARTITION BY qid), 9) END::DOUBLE AS score FROM top)"""
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Fused and normalised hits with the chunk's result columns."""
-    chunks, vectors = _chunks(spark, d).filter("notebook_id IS NOT NULL"), _vectors(spark, d)
-    rows = retrieval.searchable(chunks, table(spark, d, "documents"))
-    ok = rows.select("chunk_seq").distinct()
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(fused and normalised hits, searchable chunks); only row ids, ranks and scores are written."""
+    chunks, vectors = _chunks(spark, d).filter("notebook_id IS NOT NULL"), cut(_vectors(spark, d))
+    rows = _found(spark, d, chunks)
+    ok = cut(rows.select("chunk_seq"))
     asked = chunks.filter("chunk_seq % 20 = 0 AND section_header <> ''").select(F.col("chunk_seq").alias("qid"), "notebook_id", F.col("section_header").alias("query"))
-    asked = asked.join(vectors.select(F.col("chunk_seq").alias("qid"), F.col("embedding").alias("qvec")), "qid")
+    asked = cut(_forms(asked.join(vectors.select(F.col("chunk_seq").alias("qid"), F.col("embedding").alias("qvec")), "qid"), "qid div 20"))
     depth = retrieval.candidate_depth(5)
-    texts = retrieval.best(fulltext.search(asked, chunks).join(ok, "chunk_seq", "left_semi"), depth, ["qid"], [F.desc("score"), F.asc("chunk_seq")])
     near = retrieval.vector_search(asked, vectors.join(ok, "chunk_seq", "left_semi"), depth)
-    fused = retrieval.normalized_scores(retrieval.fuse(near, texts, 5))
+    texts = retrieval.text_hits(asked.drop("qvec"), _index(chunks), rows, depth)
+    return cut(retrieval.normalized_scores(retrieval.fuse(near, texts, 5))), rows
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Fused and normalised hits with the chunk's result columns; texts are read for the hits alone."""
+    fused, rows = _fused(spark, d)
     return fused.join(rows.select("chunk_seq", "notebook_id", *retrieval.result_columns()), "chunk_seq")
 
 
 @query(f"WITH {VEC}, {HYBRID} SELECT qid, chunk_seq, vec_rank, fts_rank, round(rrf, 9) AS rrf, rank FROM top")
 def rrf_merge(spark, d):
-    return _hybrid(spark, d).select("qid", "chunk_seq", "vec_rank", "fts_rank", F.round("rrf", 9).alias("rrf"), "rank")
+    return _fused(spark, d)[0].select("qid", "chunk_seq", "vec_rank", "fts_rank", F.round("rrf", 9).alias("rrf"), "rank")
 
 
 RESULT = f"""result AS (SELECT t.qid, t.rank, t.chunk_seq, c.notebook_id, round(t.score, 6) AS score, c.doc_id AS source_id, coalesce(nullif(d.filepath, ''), nullif(d.filename, ''), '') AS source, CASE WHEN c.page_number IS NULL OR c.page_number = 0 THEN 1 ELSE c.page_number END::BIGINT AS page,
@@ -419,12 +457,12 @@ def hybrid_search(spark, d):
 
 @query(f"WITH {VEC}, {HYBRID} SELECT qid, rank, round(score, 6) AS score FROM normed")
 def score_normalize(spark, d):
-    return _hybrid(spark, d).select("qid", "rank", F.round("score", 6).alias("score"))
+    return _fused(spark, d)[0].select("qid", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VEC}, {HYBRID} SELECT qid, count(*) FILTER (score >= 0.75) AS rag, count(*) FILTER (score >= 0.5) AS model, count(*) AS agent FROM normed GROUP BY 1")
 def threshold_filter(spark, d):
-    hits = _hybrid(spark, d)
+    hits = _fused(spark, d)[0]
     count = lambda mode: F.count_if(F.col("score") >= retrieval.THRESHOLDS.get(mode, 0.0)).alias(mode)
     return hits.groupBy("qid").agg(count("rag"), count("model"), count("agent"))
 

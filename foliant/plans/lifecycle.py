@@ -477,12 +477,12 @@ def request_parameters(spark, d):
     return table(spark, d, "events").select("event_id", T.listed(ids).alias("ids"), T.base_url(F.concat(F.lit(" http://h/"), m, F.lit("// "))).alias("base"), T.clamped(history, 1, 50, 5).alias("history"))
 
 
-@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 3) AS total, false AS broken FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS dim, round(1000 + list_sum(embedding::DOUBLE[]), 3) AS total, false AS broken FROM embeddings")
 def vector_codec(spark, d):
     """Vectors as JSON and back."""
     json = V.encoded(V.doubles("embedding"))
     back = V.decoded(json)
-    return table(spark, d, "embeddings").select("vec_id", F.size(back).cast("bigint").alias("dim"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 3).alias("total"), V.decoded(F.concat(F.lit("x"), json)).isNotNull().alias("broken"))
+    return table(spark, d, "embeddings").select("vec_id", F.size(back).cast("bigint").alias("dim"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x) + 1000, 3).alias("total"), V.decoded(F.concat(F.lit("x"), json)).isNotNull().alias("broken"))
 
 
 @query("SELECT p_partkey, CASE WHEN n < 1000 THEN 'none' WHEN n < 100000 THEN 'sq' ELSE 'pq' END AS kind, CASE WHEN n >= 1000 THEN 8 END AS bits, CASE WHEN n >= 100000 THEN list_max(list_filter(range(1, 17), lambda x: p_size % x = 0 AND x <= p_size)) END AS m FROM (SELECT *, p_partkey * p_size * 20 AS n FROM part)")
