@@ -49,18 +49,36 @@ def token_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.explode(F.array(tokens(text))).alias("_t"))
 
 
+def postings_of(tokenised: DataFrame, group: str = "notebook_id", key: str = "chunk_seq") -> DataFrame:
+    """(group, key, term, tf, positions) of tokenised rows; a chunk's words meet in its own row, so nothing is shuffled."""
+    kinds = dict(tokenised.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, places = [], [], []
+            for i, words in enumerate(batch.column(2).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for pos, word in enumerate(words or ()):
+                    at.setdefault(word, []).append(pos)
+                rows += [i] * len(at)
+                terms += at
+                places += at.values()
+            take = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(terms, pa.string()), pa.array([len(p) for p in places], pa.int64()), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [group, key, "term", "tf", "positions"])
+
+    return tokenised.select(group, key, "_t").mapInArrow(run, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, term string, tf bigint, positions array<int>")
+
+
 def index(chunks: DataFrame, group: str = "notebook_id", key: str = "chunk_seq", text: str = "chunk_text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, stats) of an inverted index whose statistics are per group.
 
     postings: group, key, term, tf and the term's ``positions``; lengths: group, key, len; stats: group, n,
-    avgdl. Built by aggregation with map-side combining; no row is cut.
+    avgdl. The texts are read once; postings and lengths are stored.
     """
-    rows = token_rows(chunks, [group, key], text)
-    placed = rows.select(group, key, F.posexplode("_t").alias("pos", "term"))
-    postings = placed.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))  # of one term in one chunk
-    lengths = rows.select(group, key, F.size("_t").cast("bigint").alias("len"))
-    stats = lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    return postings, lengths, stats
+    tokenised = cut(token_rows(chunks, [group, key], text))
+    lengths = cut(tokenised.select(group, key, F.size("_t").cast("bigint").alias("len")))
+    return cut(postings_of(tokenised, group, key)), lengths, lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
 
 
 def bm25(tf: Column, length: Column, avgdl: Column, n: Column, df: Column) -> Column:
@@ -358,20 +376,23 @@ def atom_hits(asked: DataFrame, postings: DataFrame, group: str = "notebook_id",
     atoms = atoms.groupBy(group, "atom").agg(*[F.first(c).alias(c) for c in ("phrases", "distance", "first")])
     one = F.get("phrases", F.lit(0))
     simple = (F.size("phrases") == 1) & (F.col("distance") < 0) & ~F.col("first") & (F.size(one["words"]) == 1) & ~one["prefix"]
+    atoms = cut(atoms)
     alone = atoms.filter(simple).select(group, "atom", F.get(one["words"], F.lit(0)).alias("term"))
-    direct = alone.join(postings.select(group, key, "term", "tf"), [group, "term"]).select(group, "atom", key, F.col("tf").alias("f"))
-
     words = atoms.filter(~simple).select(group, "atom", F.size(F.flatten(F.transform("phrases", lambda p: p["words"]))).alias("need"), F.posexplode("phrases").alias("i", "p"))
     words = words.select(group, "atom", "need", "i", F.size("p.words").alias("n"), F.col("p.prefix").alias("open"), F.posexplode("p.words").alias("j", "term"))
     words = words.withColumn("open", F.col("open") & (F.col("j") == F.col("n") - 1))
-    counted = postings.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    exact = words.filter(~F.col("open")).join(counted, [group, "term"])
     # Prefixes meet the vocabulary's beginnings of their own lengths.
     opened = words.filter("open").withColumnRenamed("term", "prefix")
     lengths = opened.select(group, F.char_length("prefix").alias("l")).distinct()
-    begun = counted.join(lengths, group).filter(F.char_length("term") >= F.col("l")).withColumn("prefix", F.substring("term", F.lit(1), F.col("l")))
-    spelled = opened.join(begun, [group, "prefix"]).select(*exact.columns)
-    slots = exact.unionByName(spelled)
+    begun = postings.select(group, "term").join(lengths, group).filter(F.char_length("term") >= F.col("l")).distinct().withColumn("prefix", F.substring("term", F.lit(1), F.col("l")))
+    spelled = opened.join(begun, [group, "prefix"]).select(*words.columns)
+    slots = cut(words.filter(~F.col("open")).unionByName(spelled))
+    # The index is read once; from here on only the postings of words that were asked for.
+    wanted = alone.select(group, "term").unionByName(slots.select(group, "term")).distinct()
+    postings = cut(postings.join(wanted, [group, "term"], "left_semi"))
+    direct = alone.join(postings.select(group, key, "term", "tf"), [group, "term"]).select(group, "atom", key, F.col("tf").alias("f"))
+    counted = postings.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
+    slots = slots.join(counted, [group, "term"])
     width = slots.groupBy(group, "atom", "i", "j").agg(F.sum("df").alias("df"))
     rarest = width.groupBy(group, "atom").agg(F.min(F.struct("df", "i", "j")).alias("r")).select(group, "atom", "r.i", "r.j")
     there = slots.join(rarest, [group, "atom", "i", "j"]).select(group, "atom", "term").join(postings.select(group, key, "term"), [group, "term"]).select(group, "atom", key).distinct()
@@ -434,16 +455,7 @@ def search(queries: DataFrame, chunks: DataFrame, group: str = "notebook_id", ke
     """
     words = F.array_distinct(tokens("query"))
     asked = plans(queries.select("qid", group, F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ").alias("query")))
-    tokenised = cut(token_rows(chunks, [group, key], text))
-    return answered(asked, *index_of(tokenised, group, key), group, key)
-
-
-def index_of(tokenised: DataFrame, group: str = "notebook_id", key: str = "chunk_seq") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``index`` of rows that are tokenised already (group, key, _t), and stored."""
-    placed = tokenised.select(group, key, F.posexplode("_t").alias("pos", "term"))
-    postings = placed.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))  # of one term in one chunk
-    lengths = tokenised.select(group, key, F.size("_t").cast("bigint").alias("len"))
-    return cut(postings), lengths, lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    return answered(asked, *index(chunks, group, key, text), group, key)
 
 
 def like_hits(queries: DataFrame, postings: DataFrame, chunks: DataFrame, group: str = "notebook_id", key: str = "chunk_seq", text: str = "chunk_text") -> DataFrame:

@@ -299,15 +299,6 @@ def fts_or_not_phrase_prefix(spark, d):
     return rows.select(F.explode(hits).alias("qid"), "chunk_seq")
 
 
-LIKE = r"list_filter(string_split_regex(translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+'), lambda x: x <> '')"
-
-
-@query(f"WITH {ONE}, {HEADINGS} SELECT DISTINCT qid, chunk_seq FROM (SELECT qid, notebook_id, unnest({LIKE}) AS t FROM asked) JOIN once USING (notebook_id) WHERE contains(translate(chunk_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t)")
-def like_fallback(spark, d):
-    chunks = _chunks(spark, d).filter("notebook_id IS NOT NULL")
-    return fulltext.like_hits(_headings(chunks), _index(chunks)[0], chunks)
-
-
 ENABLED = f"{ONE}, enabled AS (SELECT c.*, d.filename, d.filepath, d.source AS d_source FROM once c JOIN documents d USING (doc_id) WHERE c.is_enabled AND d.is_enabled)"
 
 
@@ -347,9 +338,16 @@ def _forms(rows: DataFrame, k: str) -> DataFrame:
     return rows.withColumn("query", said.when(form == 3, "qqzz").when(form == 4, F.replace(q, F.lit(" "), F.lit(" OR "))).otherwise(q))
 
 
+def _headed(chunks: DataFrame) -> DataFrame:
+    """Every heading of a notebook as a question, in the forms of FORMS."""
+    asked = chunks.filter("section_header <> ''").groupBy("notebook_id", "section_header").agg(F.min("chunk_seq").alias("k"))
+    asked = asked.select(F.concat_ws("/", "notebook_id", "section_header").alias("qid"), "notebook_id", F.col("section_header").alias("query"), "k")
+    return _forms(asked, "k").drop("k")
+
+
 def _index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored index of the chunks, from one scan of their texts."""
-    return fulltext.index_of(cut(fulltext.token_rows(chunks.filter("notebook_id IS NOT NULL"), ["notebook_id", "chunk_seq"], "chunk_text")))
+    return fulltext.index(chunks.filter("notebook_id IS NOT NULL"))
 
 
 def _found(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
@@ -359,15 +357,28 @@ def _found(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     return retrieval.searchable(chunks, docs, None, spark.createDataFrame([("docx",)], "tag string"), tags)
 
 
+HEADED = "plain AS (SELECT min(chunk_seq) AS k, notebook_id || '/' || section_header AS qid, notebook_id, section_header AS query FROM once WHERE section_header <> '' AND notebook_id IS NOT NULL GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {ONE}, {HEADED}, {FORMS}, hits AS (SELECT DISTINCT qid, chunk_seq FROM (SELECT qid, notebook_id, unnest(string_split(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ')) AS t FROM forms WHERE kind IN ('like', 'new')) JOIN once USING (notebook_id)
+ WHERE t <> '' AND contains(translate(chunk_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t))
+SELECT qid, chunk_seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_seq) AS rank FROM hits) WHERE rank <= 15"""
+)
+def like_fallback(spark, d):
+    """The substring stage for questions without a full-text hit."""
+    chunks = _chunks(spark, d).filter("notebook_id IS NOT NULL")
+    asked = _headed(chunks).filter("query LIKE 'qqzz%'")
+    return retrieval.best(fulltext.like_hits(asked, _index(chunks)[0], chunks), 15, ["qid"], [F.asc("chunk_seq")])
+
+
 @query(
-    f"""WITH {POST}, {OK}, plain AS (SELECT min(chunk_seq) AS k, notebook_id || '/' || section_header AS qid, notebook_id, section_header AS query FROM once WHERE section_header <> '' AND notebook_id IS NOT NULL GROUP BY ALL), {FORMS}, {FOUND}
+    f"""WITH {POST}, {OK}, {HEADED}, {FORMS}, {FOUND}
 SELECT qid, chunk_seq, rank, stage FROM texthits"""
 )
 def fallback_chain(spark, d):
     chunks = _chunks(spark, d).filter("notebook_id IS NOT NULL")
-    asked = chunks.filter("section_header <> ''").groupBy("notebook_id", "section_header").agg(F.min("chunk_seq").alias("k"))
-    asked = asked.select(F.concat_ws("/", "notebook_id", "section_header").alias("qid"), "notebook_id", F.col("section_header").alias("query"), "k")
-    return retrieval.text_hits(_forms(asked, "k").drop("k"), _index(chunks), _found(spark, d, chunks), 15).select("qid", "chunk_seq", "rank", "stage")
+    return retrieval.text_hits(_headed(chunks), _index(chunks), _found(spark, d, chunks), 15).select("qid", "chunk_seq", "rank", "stage")
 
 
 VEC = """v AS (SELECT e.chunk_rowid, any_value(c.notebook_id) AS notebook_id, any_value(e.embedding::DOUBLE[]) AS v FROM chunk_embeddings e JOIN chunks c ON c.chunk_seq = e.chunk_rowid WHERE e.embedding IS NOT NULL GROUP BY 1),
