@@ -385,7 +385,7 @@ def late_streams(spark, d):
     return state.late_dropped(rows, clears).select("seq")
 
 
-@query("SELECT event_id // 10 AS stream_id, count(*) AS packets, sum(length(event_type)) AS chars FROM events GROUP BY 1")
+@query("SELECT event_id // 10 AS stream_id, count(*) AS packets, sum(length(event_type))::BIGINT AS chars FROM events GROUP BY 1")
 def stream_totals(spark, d):
     tokens = table(spark, d, "events").select(F.floor(F.col("event_id") / 10).alias("stream_id"), F.col("event_type").alias("token"))
     return chat.stream_counters(tokens)
@@ -441,7 +441,7 @@ def message_lists(spark, d):
     return out.select("qid", F.concat(F.get("messages", F.lit(0))["content"], F.lit("|"), F.array_join(rest, ",")).alias("said"))
 
 
-@query(f"WITH {MESSAGES} SELECT id AS qid, unnest(CASE WHEN seq % 4 = 0 THEN [0] ELSE [0, 1] END) AS pos, CASE WHEN seq % 4 = 0 THEN 'down' END AS error FROM m")
+@query(f"WITH {MESSAGES} SELECT id AS qid, unnest(CASE WHEN seq % 4 = 0 THEN [0] ELSE [0, 1] END)::BIGINT AS pos, CASE WHEN seq % 4 = 0 THEN 'down' END AS error FROM m")
 def model_answers(spark, d):
     """Answers by a connector that fails for some requests."""
 
@@ -644,7 +644,7 @@ def csv_load(spark, d):
     return files.csv_table(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("SELECT 'r=' || r_regionkey AS kind, 1 AS files FROM region SEMI JOIN nation ON n_regionkey = r_regionkey")
+@query("SELECT 'r=' || r_regionkey AS kind, 1::BIGINT AS files FROM region SEMI JOIN nation ON n_regionkey = r_regionkey")
 def knowledge_listing(spark, d):
     """Files of a folder by their subfolder, without dot files."""
     path = folder(spark, "knowledge")
