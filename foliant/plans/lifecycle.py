@@ -11,6 +11,7 @@ from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators import chat, chunkers, embedding, state
 from foliant.plans.catalog import BLOCKS, LEVEL_SQL, MESSAGES, ONE, STRIP, Query, _blocks, _chunks, _messages
+from foliant.schemas import CONFIG
 from foliant.session import checkpoint_dir, table
 from foliant.sources import files
 from foliant.streaming import events as E
@@ -132,7 +133,7 @@ def source_scan(spark, d):
     good = F.to_json(F.struct((100 + F.col("doc_id") % 5).cast("int").alias("chunk_size"), (F.col("doc_id") % 2 == 0).alias("ocr_enabled")))
     raw = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, "{broken")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("notebook_id"), F.col("year").alias("sort_order"), F.col("created_at").alias("added_at"), raw.alias("individual_config"))
-    return state.loaded_sources(rows, "chunk_size int, ocr_enabled boolean").select("id", "notebook_id", "individual_config.chunk_size", "individual_config.ocr_enabled")
+    return state.loaded_sources(rows, CONFIG).select("id", "notebook_id", "individual_config.chunk_size", "individual_config.ocr_enabled")
 
 
 @query("SELECT id, notebook_id FROM (SELECT 'c' || chunk_seq AS id, notebook_id, chunk_seq FROM chunks WHERE chunk_seq % 20 = 0) WHERE chunk_seq % 5 = 0 AND chunk_seq % 60 <> 0 UNION ALL SELECT 'n' || doc_id, source FROM documents")

@@ -1,37 +1,9 @@
-"""Declared schemas of the engine's tables, as DDL; nothing is inferred."""
+"""Declared schemas of what is stored as JSON, as DDL; nothing is inferred."""
 
 from __future__ import annotations
 
-NOTEBOOKS = "id string, title string, created_at timestamp, updated_at timestamp"
+#: A source's own settings.
 CONFIG = (
     "struct<chunk_size: int, chunk_overlap: int, min_chunk_size: int, ocr_enabled: boolean, ocr_language: string, chunking_method: string, "
     "context_window: int, doc_type: string, parent_chunk_size: int, child_chunk_size: int, symbol_separator: string>"
 )
-SOURCES = (
-    "id string, notebook_id string, filename string, file_path string, file_type string, size_bytes bigint, status string, added_at timestamp, "
-    f"is_enabled boolean, has_docs boolean, has_parsing boolean, has_base boolean, embeddings_status string, index_warning string, sort_order bigint, individual_config {CONFIG}"
-)
-PARSING_SETTINGS = (
-    "notebook_id string, chunk_size int, chunk_overlap int, min_chunk_size int, ocr_enabled boolean, ocr_language string, auto_parse_on_upload boolean, "
-    "chunking_method string, context_window int, use_llm_summary boolean, doc_type string, parent_chunk_size int, child_chunk_size int, symbol_separator string"
-)
-BLOCKS = "doc_id string, pos bigint, text string, chunk_type string, page_number int, section_header string, parent_header string"
-DOCUMENTS = (
-    "doc_id string, filename string, filepath string, file_hash string, size_bytes bigint, title string, authors array<string>, year int, language string, "
-    "total_pages bigint, is_enabled boolean, is_indexed int, index_error string, created_at timestamp, updated_at timestamp"
-)
-CHUNKS = (
-    "chunk_seq bigint, chunk_id string, doc_id string, chunk_index bigint, page_number int, chunk_type string, section_header string, parent_header string, "
-    "chunk_text string, is_enabled boolean, token_count bigint, embedding_text string, parent_chunk_id string"
-)
-CHUNK_EMBEDDINGS = "chunk_rowid bigint, embedding array<float>"
-POSTINGS = "notebook_id string, chunk_seq bigint, term string, tf bigint"
-TAGS = "tag string, is_enabled boolean"
-DOCUMENT_TAGS = "doc_id string, tag string"
-MESSAGES = "id string, notebook_id string, role string, content string, created_at timestamp, seq bigint"
-CITATIONS = "id string, notebook_id string, source_id string, filename string, location struct<page: int, sheet: string, paragraph: int>, snippet string, score double, doc_order bigint"
-SAVED_CITATIONS = "id string, notebook_id string, source_id string, filename string, doc_order bigint, chunk_text string, page int, section_title string, created_at string"
-NOTES = "id string, title string, content string, source_notebook_id string, source_refs array<struct<source_id: string, doc_order: bigint, filename: string>>, created_at string"
-EVENTS = "ts timestamp, event string, notebook_id string, metadata map<string, string>"
-CHUNK_TYPES = ("text", "table", "formula", "header", "caption")
-STATUSES = ("new", "indexing", "indexed", "failed")

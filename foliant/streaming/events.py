@@ -54,9 +54,16 @@ def index_stream(files: DataFrame, index_batch: Callable[[DataFrame, int], None]
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What an aggregating stream holds once it has read all that is there now; for results as small as its windows."""
+    """What an aggregating stream holds once it has read all that is there now, from a table beside the checkpoints.
+
+    Each batch replaces the table's state (``complete``) or is a part of its own under its number, so a repeated batch replaces itself.
+    """
     spark = stream.sparkSession
-    name = f"stream_{uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    place = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={0 if mode == 'complete' else number}")
+
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
