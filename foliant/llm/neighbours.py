@@ -147,9 +147,9 @@ def fit_centres(vectors: DataFrame, rows: int, p: Index) -> Centres:
 
     More than ``flat_lists`` centres stay the points they start at. ``rows``: about how many vectors there are.
     """
-    share = 1.0 if rows <= p.sample_rows else 0.95 * p.sample_rows / rows  # below the limit, so that it cuts nothing
+    share = 1.0 if rows <= p.sample_rows else 0.95 * p.sample_rows / rows  # below the bound, so that it cuts nothing
     picked = vectors.filter(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
-    taken = picked.select("id", "v").limit(p.sample_rows).toArrow().sort_by("id")
+    taken = picked.select("id", "v").toArrow().sort_by("id").slice(0, p.sample_rows)
     sample = np.asarray(taken.column("v").combine_chunks().flatten(), np.float32).reshape(-1, p.dim)
     if not len(sample):
         return Centres(np.zeros((1, p.dim), np.float32), p)
