@@ -266,9 +266,11 @@ class Line:
         return ((((self.page * 4 + self.recurs * 2 + self.titled) * 5 + kind) * 2 + self.small) * 2 + self.place) * 4 + self.bare * 2 + self.beside
 
 
+#: Values of each feature of a symbol: page, running, kind, small, place, number.
+FEATURES = (5, 4, 5, 2, 2, 4)
 SYMBOLS = 5 * 4 * 5 * 2 * 2 * 4
-#: Log-odds that the rules of ``seeds`` lend to a state; features and neighbouring lines can outweigh them.
-PRIOR = 3.0
+#: Weight of the product of the features' own chances, in lines, where their combination was seldom seen.
+APART = 5.0
 #: Estimations of the line model at most.
 ROUNDS = 20
 STATES = ("body", "heading", "header", "pageno", "reading", "break")
@@ -320,7 +322,7 @@ def lines_of(text: str, page: int | None, recurring: set[int], title: str) -> li
 
 
 def seeds(lines: list[Line]) -> list[int | None]:
-    """States that rules would give; None where they have none."""
+    """First guesses for the model's training, by rule; None where there is none. Decoding doesn't ask for them."""
     out: list[int | None] = []
     for i, x in enumerate(lines):
         beside = x.beside
@@ -366,19 +368,19 @@ class LineModel:
         return self.__dict__ | {"paths": {}}
 
     def states(self, lines: list[Line]) -> list[int]:
-        """The decoded state of every line; what the rules say is a prior."""
-        key = tuple((x.symbol(), s) for x, s in zip(lines, seeds(lines), strict=True))
+        """The decoded state of every line."""
+        key = tuple([x.symbol() for x in lines])
         path = self.paths.get(key)
         if path is None:
             if len(self.paths) > 1 << 15:
                 self.paths.clear()
-            path = self.paths[key] = self.decode([y for y, _ in key], [s for _, s in key])
+            path = self.paths[key] = self.decode(list(key))
         return path
 
     def _count(self, symbols: list[list[int]], states: list[list[int | None]]) -> None:
         n = len(STATES)
         self.paths.clear()
-        emit, move, start = np.full((n, SYMBOLS), 0.001), np.full((n, n), 0.5), np.full(n, 0.5)
+        emit, move, start = np.zeros((n, SYMBOLS)), np.full((n, n), 0.5), np.full(n, 0.5)
         for ys, ss in zip(symbols, states, strict=True):
             before = None
             for y, s in zip(ys, ss, strict=True):
@@ -391,14 +393,20 @@ class LineModel:
                 before = s
         self.start = np.log(start / start.sum()).tolist()
         self.move = np.log(move / move.sum(axis=1, keepdims=True)).T.tolist()
-        self.emit = np.log(emit / emit.sum(axis=1, keepdims=True)).T.tolist()
-
-    def decode(self, ys: list[int], priors: list[int | None] | None = None) -> list[int]:
-        """Most probable states (Viterbi); ``priors``: states that get PRIOR more."""
+        apart = np.ones((n, SYMBOLS))
+        shaped = emit.reshape(n, *FEATURES)
+        for k, values in enumerate(FEATURES):
+            own = shaped.sum(axis=tuple(a for a in range(1, len(FEATURES) + 1) if a != k + 1)) + 0.05
+            wide = [n, *[values if a == k else 1 for a in range(len(FEATURES))]]
+            apart *= np.broadcast_to((own / own.sum(axis=1, keepdims=True)).reshape(wide), shaped.shape).reshape(n, SYMBOLS)
+        self.emit = np.log((emit + APART * apart) / (emit.sum(axis=1, keepdims=True) + APART)).T.tolist()
+
+    def decode(self, ys: list[int]) -> list[int]:
+        """Most probable states (Viterbi)."""
         if not ys:
             return []
         n = range(len(STATES))
-        emits = [self.emit[y] if p is None else [e + PRIOR * (k == p) for k, e in enumerate(self.emit[y])] for y, p in zip(ys, priors or [None] * len(ys), strict=True)]
+        emits = [self.emit[y] for y in ys]
         score = [s + e for s, e in zip(self.start, emits[0], strict=True)]
         back = []
         for emit in emits[1:]:
