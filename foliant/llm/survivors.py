@@ -230,7 +230,8 @@ def surviving_records(df: DataFrame) -> DataFrame:
     """
     rows = grouped(df, fields=True)
     groups = cut(_best(rows))
-    values = cut(_values(rows).join(groups.select("g"), "g", "left_semi"))
+    # Records that are alone in their group have no rival; only the others are taken apart into values.
+    values = cut(_values(rows.join(groups.select("g"), "g", "left_semi")))
     latest = latest_values(values, levels(learn_precedence(values)))
     survivors = latest.groupBy("g").agg(*[F.max(F.when(F.col("field") == name, F.col("value"))).alias(name) for name in FIELDS])
     return groups.join(survivors, "g", "left").drop("g")
