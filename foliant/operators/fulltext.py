@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from foliant.functions.text import col
-from foliant.session import cut
+from foliant.session import cut, stored
 
 K1, B = 1.2, 0.75
 #: Inverse document frequency of a term that more than half of the chunks have.
@@ -76,9 +76,9 @@ def index(chunks: DataFrame, group: str = "notebook_id", key: str = "chunk_seq",
     postings: group, key, term, tf and the term's ``positions``; lengths: group, key, len; stats: group, n,
     avgdl. The texts are read once; postings and lengths are stored.
     """
-    tokenised = cut(token_rows(chunks, [group, key], text))
-    lengths = cut(tokenised.select(group, key, F.size("_t").cast("bigint").alias("len")))
-    return cut(postings_of(tokenised, group, key)), lengths, lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    tokenised = stored(token_rows(chunks, [group, key], text))
+    lengths = stored(tokenised.select(group, key, F.size("_t").cast("bigint").alias("len")))
+    return stored(postings_of(tokenised, group, key)), lengths, lengths.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
 
 
 def bm25(tf: Column, length: Column, avgdl: Column, n: Column, df: Column) -> Column:
@@ -383,10 +383,11 @@ def atom_hits(asked: DataFrame, postings: DataFrame, group: str = "notebook_id",
     words = words.withColumn("open", F.col("open") & (F.col("j") == F.col("n") - 1))
     # Prefixes meet the vocabulary's beginnings of their own lengths.
     opened = words.filter("open").withColumnRenamed("term", "prefix")
-    lengths = opened.select(group, F.char_length("prefix").alias("l")).distinct()
-    begun = postings.select(group, "term").join(lengths, group).filter(F.char_length("term") >= F.col("l")).distinct().withColumn("prefix", F.substring("term", F.lit(1), F.col("l")))
-    spelled = opened.join(begun, [group, "prefix"]).select(*words.columns)
-    slots = cut(words.filter(~F.col("open")).unionByName(spelled))
+    slots = words.filter(~F.col("open"))
+    if not opened.isEmpty():
+        lengths = opened.select(group, F.char_length("prefix").alias("l")).distinct()
+        begun = postings.select(group, "term").join(lengths, group).filter(F.char_length("term") >= F.col("l")).distinct().withColumn("prefix", F.substring("term", F.lit(1), F.col("l")))
+        slots = cut(slots.unionByName(opened.join(begun, [group, "prefix"]).select(*words.columns)))
     # The index is read once; from here on only the postings of words that were asked for.
     wanted = alone.select(group, "term").unionByName(slots.select(group, "term")).distinct()
     postings = cut(postings.join(wanted, [group, "term"], "left_semi"))
