@@ -12,7 +12,7 @@ from foliant.functions import vectors as V
 from foliant.operators import chat, chunkers, embedding, state
 from foliant.plans.catalog import BLOCKS, LEVEL_SQL, MESSAGES, ONE, STRIP, Query, _blocks, _chunks, _messages
 from foliant.schemas import CONFIG
-from foliant.session import checkpoint_dir, table
+from foliant.session import checkpoint_dir, table, table_stream
 from foliant.sources import files
 from foliant.streaming import events as E
 
@@ -665,7 +665,7 @@ def latest_log(spark, d):
 def index_by_stream(spark, d):
     """Documents indexed as they arrive: each batch is written under its number, so that one that is repeated replaces itself."""
     out = folder(spark, "indexed")
-    docs = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = table_stream(spark, d, "documents")
 
     def index(batch: DataFrame, number: int) -> None:
         state_ = F.when(F.col("n_chars") > 0, "indexed").otherwise("failed")

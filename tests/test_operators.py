@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators import chat, chunkers, embedding, fulltext, ordering, retrieval, state
+from foliant.plans import lifecycle
 from foliant.sources import files
 from foliant.streaming import events
 
@@ -273,6 +274,17 @@ def test_streams(spark, tmp_path):
     assert app.count() == 2 and client.count() == 1
 
 
+def test_documents_are_streamed_from_a_file_and_from_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], i % 3) for i in range(60)], "doc_id bigint, source string, n_chars int")
+    docs.repartition(4).write.parquet(str(tmp_path / "many/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one/documents.parquet")
+    for d in ("one", "many"):
+        got = lifecycle.queries()["index_by_stream"](spark, str(tmp_path / d)).collect()
+        assert {tuple(r) for r in got} == {("a", 30, 20), ("b", 30, 20)}
+
+
 def test_stream_windows_with_late_rows(spark, tmp_path):
     folder = tmp_path / "ev"
     spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 03:00:00', 2.0D UNION ALL SELECT timestamp'2024-01-01 09:00:00', 4.0D").coalesce(1).write.parquet(str(folder))
