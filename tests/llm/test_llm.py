@@ -370,6 +370,33 @@ def test_pairs_follow_seq_not_clocks(spark, documents):
     assert pairs.broken_pairs(chat.limit(0), documents).count() == 0
 
 
+def test_refusals_are_learned_from_every_answer_and_document(spark, documents):
+    quoted = "Ask me for help if you cannot open the valve."
+    held = documents.unionByName(spark.createDataFrame([(6, quoted, None)], documents.schema))
+    # More answers than a sample of 20,000; the only refusal has the id that a sample by hash would take last.
+    ids = spark.range(50).select(F.concat(F.lit("r"), "id").alias("id"))
+    last = ids.orderBy(F.pmod(F.xxhash64("id"), F.lit(1_000_000)).desc()).first()["id"]
+    said = spark.createDataFrame([(last, REFUSING[0]), *((f"q{i}", quoted) for i in range(5))], "id string, content string")
+    said = spark.range(24_000).select(F.concat(F.lit("d"), "id").alias("id"), F.lit("It is dry.").alias("content")).unionByName(said)
+    both = F.array(F.struct(F.concat(F.lit("u-"), "id").alias("id"), F.lit("user").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("seq")), F.struct("id", F.lit("assistant").alias("role"), "content", F.lit(1).alias("seq")))
+    chat = said.select(F.col("id").alias("notebook_id"), F.explode(both).alias("m")).select("notebook_id", "m.*")
+    assert {x for x in told(chat, held) if x[1] == "refusal"} == {(last, "refusal")}
+
+
+def test_refusals_in_tables_are_those_in_memory(spark):
+    answers = [*[*ENGLISH, *GERMAN, *RUSSIAN, "Run this.", "The technician could not answer the question. I see.", "", None] * 60, *REFUSING * 3, "Unfortunately I am unable to help with this."]
+    texts = [*ENGLISH, *GERMAN, *RUSSIAN, "Ask me for help if you cannot open the valve.", None]
+    chat = spark.createDataFrame([("assistant", t) for t in answers], "role string, content string")
+    documents = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = pairs.Refusals([t for t in answers if t], [t for t in texts if t])
+    each = {model._normal(t[a:b]) for t in answers if t for a, b, _ in language.sentences(t)}
+    keys = {r["h"]: r["s"] for r in spark.createDataFrame([(s,) for s in each], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
+    got = {keys[r["h"]] for r in pairs.refused(chat, documents).collect()}
+    assert got == {s for s in each if model.odds(s) > 0} and len(got) == 7
+    assert pairs.refused(chat.limit(0), documents).count() == 0
+    assert {keys[r["h"]] for r in pairs.refused(chat.filter("content = \"" + REFUSING[1] + "\""), documents.limit(0)).collect()} == {model._normal(REFUSING[1])}
+
+
 # --- 5: scans
 
 
